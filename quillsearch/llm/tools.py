@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
@@ -56,3 +57,37 @@ def over_text(df: DataFrame, schema: T.StructType | str, work: Callable[[np.ndar
                 yield pa.RecordBatch.from_pydict(out)
 
     return df.select(text, *also).mapInArrow(run, schema)
+
+
+#: A side of up to so many narrow rows (some tens of MB) is broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Cut df, count it, and mark it for broadcast only if it is small."""
+    done = cut(df)
+    return F.broadcast(done) if done.count() <= BROADCAST_ROWS else done
+
+
+def keep_rows(documents: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of documents that ``judged`` (doc_id, keep) keeps, with their columns.
+
+    What goes is usually the smaller side, so only that is joined.  Of rows that
+    share a doc_id as many stay as are kept; which of them is arbitrary."""
+    ids = judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.col("keep").cast("int")).alias("kept"))
+    odd = cut(ids.where("kept < rows"))
+    gone = odd.where("kept = 0").select("doc_id")
+    some = odd.where("kept > 0")
+    n = odd.count()
+    mark = (lambda x: F.broadcast(x)) if n <= BROADCAST_ROWS else (lambda x: x)
+    (key,) = fresh(documents, "gone_id")
+    match = documents["doc_id"].eqNullSafe(F.col(key))
+    left = documents.join(mark(gone.withColumnRenamed("doc_id", key)), match, "left_anti")
+    if not some.isEmpty():
+        key, kept, rank = fresh(documents, "some_id", "kept_rows", "row_rank")
+        part = some.select(F.col("doc_id").alias(key), F.col("kept").alias(kept))
+        same = left["doc_id"].eqNullSafe(F.col(key))
+        whole = left.join(mark(part), same, "left_anti")
+        ranked = left.join(mark(part), same).withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1))))
+        left = whole.unionByName(ranked.where(F.col(rank) <= F.col(kept)).drop(key, kept, rank))
+    return left
