@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, quality, simhash, toxicity
+from . import bpe, chat, exact, huffman, packing, phrases, quality, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,31 @@ def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_check(table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.templates(pages, urls.page_labels(pages, table(spark, sf_dir, "labels")))
+
+
+def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.groups(table(spark, sf_dir, "documents"))
+
+
+def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.encode(table(spark, sf_dir, "documents"))[0]
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -40,8 +61,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op3_simhash, op4_exact, op7_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op3_simhash, op4_exact, op5_bpe, op6_chat, op7_toxicity, op8_urls, op9_phrases, op10_huffman, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_packing": packing.oracle(), "op4_exact": exact.ORACLE}
+    return {"op2_packing": packing.oracle(), "op4_exact": exact.ORACLE, "op6_chat": chat.ORACLE}
