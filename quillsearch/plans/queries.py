@@ -400,11 +400,11 @@ def semantic_search(spark, sf_dir):
 # Fusion -------------------------------------------------------------------------------
 
 
-@query("SELECT user_id AS article_id, round(100 * (1 - product(1 - value / 100)), 4) AS power FROM (SELECT user_id, least(abs(value), 90) AS value FROM events WHERE event_id < 500) GROUP BY 1 ORDER BY power DESC, min(article_id) LIMIT 100000")
+@query("SELECT user_id AS article_id, round(100 * (1 - product(1 - value / 100)), 4) AS power FROM (SELECT user_id, least(abs(value), 90) * 0.987654321 AS value FROM events WHERE event_id < 500) GROUP BY 1 ORDER BY power DESC, min(article_id) LIMIT 100000")
 def fusion_noisy_or(spark, sf_dir):
     """Fusion of events by user, their values as powers."""
     e = table(spark, sf_dir, "events").where("event_id < 500")
-    rows = e.select(F.col("user_id").alias("article_id"), F.lit("").alias("title"), F.lit("").alias("text"), F.lit("").alias("type"), F.least(F.abs("value"), F.lit(90.0)).alias("power"), F.lit("").alias("snippet"), F.struct(F.lit(0).alias("stage"), F.col("event_id").cast("int").alias("rank")).alias("ord"))
+    rows = e.select(F.col("user_id").alias("article_id"), F.lit("").alias("title"), F.lit("").alias("text"), F.lit("").alias("type"), (F.least(F.abs("value"), F.lit(90.0)) * 0.987654321).alias("power"), F.lit("").alias("snippet"), F.struct(F.lit(0).alias("stage"), F.col("event_id").cast("int").alias("rank")).alias("ord"))
     return fusion.fuse(rows, 100000).select("article_id", F.round("power", 4).alias("power"))
 
 
