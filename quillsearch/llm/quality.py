@@ -7,11 +7,11 @@ projected and normalised, are broadcast.  Each document is projected likewise,
 compared with all of them by blocked exact cosine products, and the labels of
 its ``neighbours`` nearest are averaged with weights ``max(cosine, 0) ** power``.
 
-Defined cases: a null or empty text, like any text without terms, has no
-direction and gets the share of good labels; without usable labels every score
+Defined cases: a null or empty text, like any text all but outside the latent
+space, has no direction and gets the share of good labels; without usable labels every score
 is null and every document is kept; a labelled document whose label or text is
 null is not used; several labels of one document are averaged; equal cosines
-are ordered by the sample's order (by hash of doc_id, then doc_id).
+(to a millionth) are ordered by doc_id.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ NEIGHBOURS = 15
 POWER = 4.0
 THRESHOLD = 0.5
 WORD_WEIGHT = 0.25
+#: A projection shorter than this (of texts of unit length) is no direction.
+FAINT = 0.05
 
 _TOKEN = np.ones(256, dtype=bool)
 _TOKEN[[9, 10, 11, 12, 13, 32]] = False
@@ -92,7 +94,16 @@ def decompose(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
     basis = np.random.default_rng(7).standard_normal((x.shape[1], rank)).astype(np.float32)
     for _ in range(rounds):
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
-    return basis
+    # rotate to the singular directions and leave out those that hold nothing
+    _, size, turn = np.linalg.svd(x @ basis, full_matrices=False)
+    return basis @ turn[size > 1e-3 * size[0]].T
+
+
+def project(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Unit latent vectors; zero for a text that is all but outside the space."""
+    y = x @ basis
+    y[np.sqrt((y * y).sum(axis=1)) < FAINT] = 0
+    return unit(y)
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK) -> dict | None:
@@ -124,20 +135,22 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     x = weigh(x, idf)
     basis = decompose(x, rank)
-    return {"idf": idf, "basis": basis, "vectors": unit(x @ basis), "labels": label}
+    return {"idf": idf, "basis": basis, "vectors": project(x, basis), "labels": label}
 
 
 def votes(counts: np.ndarray, model: dict, neighbours: int = NEIGHBOURS, power: float = POWER) -> np.ndarray:
     """Each row's weighted mean label of its nearest labelled vectors."""
     prior = float(model["labels"].mean())
-    x = unit(weigh(counts, model["idf"]) @ model["basis"])
+    x = project(weigh(counts, model["idf"]), model["basis"])
     vectors, labels = model["vectors"], model["labels"]
     k = min(neighbours, len(labels))
     out = np.empty(len(x))
     for a in range(0, len(x), 256):
-        cosine = x[a : a + 256] @ vectors.T
+        # whole millionths: equal vectors tie exactly, and ties go to the lower doc_id
+        cosine = np.rint((x[a : a + 256] @ vectors.T).astype(np.float64) * 1e6)
+        cosine -= np.arange(len(labels)) / (2 * len(labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(labels) else np.broadcast_to(np.arange(k), (len(cosine), k))
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** power
+        weight = np.maximum(np.ceil(np.take_along_axis(cosine, near, axis=1)) / 1e6, 0) ** power
         total = weight.sum(axis=1)
         out[a : a + 256] = np.where(total > 0, (weight * labels[near]).sum(axis=1) / np.where(total > 0, total, 1), prior)
     return out

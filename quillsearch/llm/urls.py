@@ -3,8 +3,9 @@
 Per host the paths form a tree of segments (the query string counts as one more
 segment of its parameter names).  Segments that look variable (digits, hex,
 dates, long mixed strings) become wildcards, and so do siblings that are many
-and rare.  Branches of one parent whose children are distributed alike
-(Jensen-Shannon divergence up to ``DIVERGENCE``) merge.  A template's purity is
+and rare.  Branches of one parent merge when the paths below them are distributed
+alike (Jensen-Shannon divergence up to ``DIVERGENCE``) and their shares of bad
+labels don't differ beyond chance (two proportions, ``Z``).  A template's purity is
 the share of bad labels among its pages, smoothed towards the whole share; a
 template with enough labels and purity of at least ``PURITY`` is rejected.
 
@@ -28,7 +29,7 @@ from .tools import BROADCAST_ROWS, cut
 
 #: A parent with more distinct children than this turns those below RARE of it into a wildcard.
 MOST, RARE = 32, 0.02
-DIVERGENCE = 0.05
+DIVERGENCE, Z = 0.1, 1.96
 SMOOTHING = 10.0
 LEAST_LABELS = 5
 PURITY = 0.5
@@ -53,10 +54,32 @@ def split(url):
 
 
 class Node:
-    __slots__ = ("count", "children", "paths")
+    __slots__ = ("count", "ends", "labels", "bad", "children", "paths")
 
     def __init__(self):
-        self.count, self.children, self.paths = 0, {}, []
+        self.count = self.ends = self.labels = 0
+        self.bad = 0.0
+        self.children, self.paths = {}, []
+
+    def shape(self) -> dict[str, int]:
+        """Pages by the rest of their path below this node."""
+        out: dict[str, int] = {}
+        todo = [(self, "")]
+        while todo:
+            node, rest = todo.pop()
+            if node.ends:
+                out[rest] = out.get(rest, 0) + node.ends
+            todo += [(child, f"{rest}/{name}") for name, child in node.children.items()]
+        return out
+
+
+def unlike_labels(a: Node, b: Node) -> bool:
+    """Whether the shares of bad labels differ beyond chance (two proportions)."""
+    if not a.labels or not b.labels:
+        return False
+    p = (a.bad + b.bad) / (a.labels + b.labels)
+    spread = (p * (1 - p) * (1 / a.labels + 1 / b.labels)) ** 0.5
+    return abs(a.bad / a.labels - b.bad / b.labels) > Z * spread if spread else False
 
 
 def divergence(a: dict[str, int], b: dict[str, int]) -> float:
@@ -72,25 +95,31 @@ def divergence(a: dict[str, int], b: dict[str, int]) -> float:
     return float(out)
 
 
-def generalise(paths: list[str], counts: list[int]) -> dict[str, str]:
+def generalise(paths: list[str], counts: list[int], labels: list[int] | None = None, bad: list[float] | None = None) -> dict[str, str]:
     """The template of each path of one host."""
     root = Node()
-    for path, count in sorted(zip(paths, counts, strict=True)):
+    none = [0] * len(paths)
+    for path, count, labelled, wrong in sorted(zip(paths, counts, labels or none, bad or none, strict=True)):
         node = root
-        node.count += count
-        for segment in path.split("/")[1:] if path != "/" else []:
-            node = node.children.setdefault(segment, Node())
+        for segment in ["", *(path.split("/")[1:] if path != "/" else [])]:
+            node = node.children.setdefault(segment, Node()) if segment else node
             node.count += count
+            node.labels += labelled
+            node.bad += wrong
+        node.ends += count
         node.paths.append(path)
 
     def absorb(into: Node, other: Node) -> None:
-        into.count += other.count
-        into.paths += other.paths
-        for name, child in other.children.items():
-            if name in into.children:
-                absorb(into.children[name], child)
-            else:
-                into.children[name] = child
+        todo = [(into, other)]
+        while todo:
+            a, b = todo.pop()
+            a.count, a.ends, a.labels, a.bad = a.count + b.count, a.ends + b.ends, a.labels + b.labels, a.bad + b.bad
+            a.paths += b.paths
+            for name, child in b.children.items():
+                if name in a.children:
+                    todo.append((a.children[name], child))
+                else:
+                    a.children[name] = child
 
     # depth first, without recursion: long paths are deep trees
     out: dict[str, str] = {}
@@ -107,11 +136,13 @@ def generalise(paths: list[str], counts: list[int]) -> dict[str, str]:
                     absorb(children["*"], child)
                 else:
                     children["*"] = child
-        # branches with children of their own, alike in them, become one
+        # branches that go on alike below, with labels alike, become one
         merged: list[tuple[list[str], Node]] = []
         for name, child in sorted(children.items(), key=lambda x: (-x[1].count, x[0])):
-            shape = {k: v.count for k, v in child.children.items()}
-            home = next((m for m in merged if shape and m[1].children and not name.startswith("?") and divergence({k: v.count for k, v in m[1].children.items()}, shape) <= DIVERGENCE), None)
+            home = None
+            if len(children) > 1 and child.children and not name.startswith("?"):
+                shape = child.shape()
+                home = next((m for m in merged if m[1].children and not unlike_labels(m[1], child) and divergence(m[1].shape(), shape) <= DIVERGENCE), None)
             if home:
                 absorb(home[1], child)
                 home[0].append(name)
@@ -134,7 +165,7 @@ def templates(pages: DataFrame, bad: DataFrame) -> DataFrame:
     prior = counted.agg((F.coalesce(F.sum("bad"), F.lit(0.0)) / F.greatest(F.sum("labels"), F.lit(1))).alias("p")).first()["p"] or 0.0
 
     def build(host_rows: pd.DataFrame) -> pd.DataFrame:
-        names = generalise(host_rows["path"].tolist(), host_rows["n"].tolist())
+        names = generalise(host_rows["path"].tolist(), host_rows["n"].tolist(), host_rows["labels"].tolist(), host_rows["bad"].tolist())
         out = host_rows.assign(template=host_rows["path"].map(names))
         total = out.groupby("template")[["labels", "bad"]].transform("sum")
         out["labelled"] = total["labels"].astype("int64")
