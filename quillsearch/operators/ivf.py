@@ -15,6 +15,8 @@ CELL = 2500
 ROUNDS = 10
 #: At least so many cells' worth of vectors are probed.
 FLOOR_CELLS = 50
+#: Largest matrix of centroids that is broadcast.
+MOST_BYTES = 1 << 30
 
 
 def similar(vectors: DataFrame, query, limit: int, column: str = "embedding") -> DataFrame:
@@ -29,13 +31,12 @@ def truncated(vectors: DataFrame, size: int) -> DataFrame:
 def numbered(vectors: DataFrame) -> DataFrame:
     """Rows with ``row``, their 0-based place by id, without a single-task sort.
 
-    Ranges of ids are sorted apart and offset by the counts before them."""
-    from pyspark.sql import types as T
-
-    spread = vectors.repartitionByRange(F.col("id")).sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
+    Ranges of ids are sorted apart and offset by the counts before them.  They are
+    kept, because ranges sampled a second time could differ."""
+    spread = vectors.repartitionByRange(F.col("id")).sortWithinPartitions("id").withColumn("part", F.spark_partition_id()).persist()
     counts = spread.groupBy("part").count()
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("id")).cast(T.LongType())
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("id")).cast("long")
     return spread.join(F.broadcast(before), "part").withColumn("row", F.col("before") + rank - 1).drop("part", "before")
 
 
@@ -69,6 +70,9 @@ def kmeans(vectors: DataFrame, cell: int = CELL, rounds: int = ROUNDS) -> tuple[
     if n == 0:
         raise ValueError("there are no vectors")
     k = max(1, n // cell)
+    size = len(vectors.first()["embedding"])
+    if k * size * 8 > MOST_BYTES:
+        raise ValueError(f"{k} cells of {size} dimensions are too many to broadcast: make cells larger")
     # row numbers repeat when there are fewer rows than places
     seeds = [i * n // k for i in range(k)]
     spare = [7 * i % n for i in range(k)]
@@ -91,7 +95,6 @@ def kmeans(vectors: DataFrame, cell: int = CELL, rounds: int = ROUNDS) -> tuple[
             yield pa.RecordBatch.from_pydict({"cell": used.astype(np.int32), "n": count[used], "total": pa.array(list(total[used]), pa.list_(pa.float64()))})
 
         partial = rows.select("embedding").mapInArrow(sums, "cell int, n long, total array<double>")
-        size = centroids.shape[1]
         merged = partial.groupBy("cell").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[d]) for d in range(size)]).alias("total"))
         if turn == rounds - 1:
             last = centroids

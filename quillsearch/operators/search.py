@@ -22,7 +22,8 @@ def frequencies(post: DataFrame, phrases: Sequence[Sequence[str]]) -> DataFrame:
     distinct = list(dict.fromkeys(map(tuple, phrases)))
     terms = sorted({t for p in distinct for t in p})
     number = {t: i for i, t in enumerate(terms)}
-    mine = post.where(F.col("term").isin(terms))
+    # partitioned by row alone, so that both groupings and the join with lengths share it
+    mine = post.where(F.col("term").isin(terms)).repartition("doc_id")
     gathered = mine.groupBy("doc_id", "col").agg(*[F.collect_list(F.when(F.col("term") == t, F.col("pos"))).alias(f"p{i}") for t, i in number.items()])
 
     def count(phrase: Sequence[str]):

@@ -133,8 +133,8 @@ class Engine:
         known = self.articles.join(newest.select("id"), "id", "left_anti")
         next_id = self.table("sections", S.SECTIONS).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         flat = pages.select("id", "archive", "member", "line", F.posexplode("items").alias("place", "item"))
-        # surrogate keys follow the order of arrival, counted by range instead of in one task
-        keyed = numbered(flat, ["archive", "member", "line", "place"], next_id)
+        # surrogate keys follow the order of arrival
+        keyed = numbered(flat, ["archive", "member"], ["line", "place"], next_id)
         rows = keyed.select(F.col("key").alias("id"), F.col("id").alias("article_id"), "item.title", "item.content", F.lit(None).cast("binary").alias("content_flate"), "item.pow")
         self.write("sections", self.table("sections", S.SECTIONS).unionByName(rows))
         self.write("articles", known.unionByName(newest))
@@ -246,12 +246,12 @@ class Engine:
         self.write("centroids", self.spark.createDataFrame(rows, S.CENTROIDS))
 
 
-def numbered(rows: DataFrame, order: Sequence[str], start: int = 0) -> DataFrame:
-    """Adds ``key``: start + 1, start + 2, … in the order given."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = spread.groupBy("_part").count()
-    before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return spread.join(F.broadcast(before), "_part").withColumn("key", (F.lit(start) + F.col("_before") + rank).cast("long")).drop("_part", "_before")
-
+def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[str], start: int = 0) -> DataFrame:
+    """Adds ``key``: start + 1, start + 2, … by the groups, then the order inside.
 
+    A count per group and a rank inside it: the only window over all groups sees
+    a row for each."""
+    counts = rows.groupBy(*groups).count()
+    before = counts.select(*groups, (F.sum("count").over(Window.orderBy(*groups)) - F.col("count")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return rows.withColumn("_rank", rank).join(before, list(groups)).withColumn("key", (F.lit(start) + F.col("_before") + F.col("_rank")).cast("long")).drop("_rank", "_before")
