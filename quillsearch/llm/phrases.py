@@ -158,36 +158,56 @@ def forest(key: np.ndarray, same: callable) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
-def alike(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (a, b) that connect all nodes (node, signature, bands) that are alike."""
-    cells = parts(nodes.sparkSession)
-    rows = nodes.select(F.explode("bands").alias("band"), "node", "signature").withColumn("cell", F.pmod(F.col("band"), F.lit(cells)).cast("int"))
+def alike(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges (a, b) that connect all nodes of rows (node, signature, bands) that are alike.
+
+    Bare (band, node) pairs go round first; most bands have one node and end
+    there.  Only the crowded ones are given their signatures and compared."""
+    cells = parts(rows.sparkSession)
+    pairs = rows.select(F.explode("bands").alias("band"), "node")
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(batch.column("band").to_numpy(), batch.column("node").to_numpy()) for batch in batches]
+        if not got:
+            return
+        band, node = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((node, band))
+        band, node = band[order], node[order]
+        new = np.ones(len(band), dtype=bool)
+        new[1:] = (band[1:] != band[:-1]) | (node[1:] != node[:-1])
+        band, node = band[new], node[new]
+        same = band[1:] == band[:-1]
+        many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(band) else np.zeros(0, dtype=bool)
+        yield pa.RecordBatch.from_pydict({"band": band[many], "node": node[many]})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if got is None or got.num_rows == 0:
+        batches = list(batches)
+        if not batches:
             return
+        got = pa.Table.from_batches(batches)
         band, node = got["band"].to_numpy(), got["node"].to_numpy()
         order = np.argsort(band, kind="stable")
-        band = band[order]
-        crowd = np.flatnonzero((np.concatenate([[False], band[1:] == band[:-1]])) | (np.concatenate([band[1:] == band[:-1], [False]])))
-        order, band = order[crowd], band[crowd]
-        node = node[order]
-        signature = got["signature"].take(pa.array(order)).combine_chunks()
-        small = np.frombuffer(b"".join(signature.to_pylist()), np.uint8).reshape(-1, HASHES // 2)
+        small = np.frombuffer(b"".join(got["signature"].to_pylist()), np.uint8).reshape(-1, HASHES // 2)[order]
+        band, node = band[order], node[order]
         a, b = forest(band, lambda i, j: similarity(small[i], small[j]) >= threshold)
         yield pa.RecordBatch.from_pydict({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
-    return rows.repartitionById(cells, "cell").select("band", "node", "signature").mapInArrow(meet, "a long, b long")
+    def by_band(df: DataFrame) -> DataFrame:
+        return df.repartitionById(cells, F.pmod(F.col("band"), F.lit(cells)).cast("int"))
+
+    found = by_band(pairs).mapInArrow(crowded, "band long, node long")
+    signatures = rows.groupBy("node").agg(F.first("signature").alias("signature"))
+    full = found.join(signatures, "node").select("band", "node", "signature")
+    return by_band(full).mapInArrow(meet, "a long, b long")
 
 
 def groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Columns doc_id, n_phrases, signature, group_id: one row per row of documents."""
     rows = cut(fingerprints(documents))
     known = rows.where(F.col("signature").isNotNull())
-    nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
-    roots = components(alike(nodes, threshold))
-    labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = known.groupBy("node").agg(F.min("doc_id").alias("least"))
+    roots = components(alike(known, threshold))
+    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = labelled.select("node", F.min("least").over(Window.partitionBy("root")).alias("group_id"))
     named = known.join(labelled, "node").select("doc_id", "n_phrases", "signature", "group_id")
     return named.unionByName(rows.where(F.col("signature").isNull()).select("doc_id", "n_phrases", "signature", F.col("doc_id").alias("group_id")))
