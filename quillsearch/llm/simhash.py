@@ -222,8 +222,11 @@ def near_edges(nodes: DataFrame) -> DataFrame:
 
     Replicas travel as packed blocks, one per target cell of the anchor space,
     not as single rows."""
-    spark = nodes.sparkSession
-    cells = parts(spark)
+    cells = parts(nodes.sparkSession)
+    # cells follow the first block's anchor, of which a fingerprint has few; where
+    # there are many cells the second block's divides them further
+    fine = max(1, cells // 1024)
+    coarse = cells // fine
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -231,33 +234,36 @@ def near_edges(nodes: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 4096)
                 fp, check = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "chk"))
                 who, anchor = anchors(fp)
-                cell = (kernels.mix(anchor) % np.uint64(cells)).astype(np.int32)
-                order = np.argsort(cell, kind="stable")
-                who, anchor, cell = who[order], anchor[order], cell[order]
+                info = compact(anchor)
+                cell = (kernels.mix(info & np.uint32(0xFFF)) % np.uint64(coarse)) * np.uint64(fine) + kernels.mix(info >> np.uint32(12)) % np.uint64(fine)
+                order = np.lexsort((who, cell))
+                who, info, cell = who[order], info[order], cell[order].astype(np.int32)
+                three = np.ascontiguousarray(info.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
                 first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-                # a block: its fingerprints, each once, and per replica a number among them and the anchor
+                # a block: its fingerprints, the number of anchors of each, and the anchors in three bytes
                 blobs = []
-                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=True) if len(cell) else ():
-                    row, inverse = np.unique(who[a:b], return_inverse=True)
-                    blobs.append(np.int32(len(row)).tobytes() + fp[row].tobytes() + check[row].tobytes() + inverse.astype(np.uint16).tobytes() + compact(anchor[a:b]).tobytes())
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=False):
+                    row, count = np.unique(who[a:b], return_counts=True)
+                    blobs.append(np.int32(len(row)).tobytes() + fp[row].tobytes() + check[row].tobytes() + count.astype(np.uint16).tobytes() + three[a:b].tobytes())
                 yield pa.RecordBatch.from_pydict({"cell": pa.array(cell[first]), "block": pa.array(blobs, pa.binary())})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fp, check, who, anchor, seen = [], [], [], [], 0
+        fp, check, count, three = [], [], [], []
         for batch in batches:
             for blob in batch.column("block"):
                 data = blob.as_buffer()
                 n = int(np.frombuffer(data, np.int32, 1)[0])
-                left = (len(data) - 4 - 16 * n) // 6
                 fp.append(np.frombuffer(data, np.uint64, n, 4))
                 check.append(np.frombuffer(data, np.uint64, n, 4 + 8 * n))
-                who.append(np.frombuffer(data, np.uint16, left, 4 + 16 * n).astype(np.int64) + seen)
-                anchor.append(np.frombuffer(data, np.uint32, left, 4 + 16 * n + 2 * left))
-                seen += n
-        if not who:
+                count.append(np.frombuffer(data, np.uint16, n, 4 + 16 * n))
+                three.append(np.frombuffer(data, np.uint8, -1, 4 + 18 * n))
+        if not fp:
             return
-        fp, check, who, anchor = map(np.concatenate, (fp, check, who, anchor))
-        a, b = bucket_edges(expand(anchor), fp[who], check[who])
+        fp, check, count, three = map(np.concatenate, (fp, check, count, three))
+        who = np.repeat(np.arange(len(fp)), count)
+        three = three.reshape(-1, 3).astype(np.uint32)
+        info = three[:, 0] | three[:, 1] << np.uint32(8) | three[:, 2] << np.uint32(16)
+        a, b = bucket_edges(expand(info), fp[who], check[who])
         node = name(fp, check)
         a, b = node[who[a]], node[who[b]]
         yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
