@@ -22,7 +22,7 @@ class Config:
     ai_model: str = "Qwen3-Embedding-0.6B-Q8_0"
     ai_model_import: str = ""
     ai_model_prefix_save: str = ""
-    ai_model_prefix_search: str = "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery:"
+    ai_model_prefix_search: str = "Instruct: Given a web search query, " + "retrieve relevant passages that " + "answer the query\nQuery:"
     ai_threads: int = 0
     ai_sync: bool = False
     cli: bool = False
