@@ -21,7 +21,8 @@ _FOLD = str.maketrans(SOURCE, TARGET, MARKS)
 
 def fold(text: Column) -> Column:
     """Accents and case folded; folding comes first, or a dotted capital I would grow."""
-    return F.lower(F.translate(text, SOURCE + MARKS, TARGET))
+    plain = F.char_length(text) == F.octet_length(text)  # translating goes sign by sign: only where it can matter
+    return F.lower(F.when(plain, text).otherwise(F.translate(text, SOURCE + MARKS, TARGET)))
 
 
 def tokens(text: Column) -> Column:

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in at least a partition per core: a small table is often one file, which
+    one task would tokenise.  Tables with partitions enough are left alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    few = rows._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return rows.repartition(cores) if few else rows
+
+
 def tokenised(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """doc_id and one token array per column (c0, c1, …); no shuffle."""
-    return rows.select(F.col(key).alias("doc_id"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    return spread(rows.select(key, *dict.fromkeys(c for c in columns if c != key))).select(F.col(key).alias("doc_id"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
 def postings(rows: DataFrame, key: str, columns: Sequence[str], terms: Sequence[str] | None = None) -> DataFrame:
