@@ -17,7 +17,7 @@ and a bucket passes on only a spanning forest of its accepted pairs.
 Defined cases: a null text is a group of its own; texts without words (empty,
 punctuation) group only when equal; a one-word text uses the word for bigrams
 too; a group is named by its least doc_id and that document is kept (of equal
-rows, one); a null doc_id sorts last.
+rows in the group, one, so each group keeps exactly one); a null doc_id sorts last.
 """
 
 from __future__ import annotations
@@ -332,12 +332,10 @@ def groups(documents: DataFrame) -> DataFrame:
     roots = components(near_edges(nodes))
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = labelled.withColumn("group_id", F.min("least").over(Window.partitionBy("root")))
-    named = known.join(labelled.select("node", "group_id").distinct(), "node", "left").select("doc_id", "group_id")
+    named = known.join(labelled.select("node", "root", "group_id").distinct(), "node", "left")
     lone = rows.where("missing").select("doc_id", F.col("doc_id").alias("group_id"))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    # a group's least document is kept: only candidates are ranked, to keep one of equal rows
-    return (
-        named.withColumn("keep", F.col("doc_id").eqNullSafe(F.col("group_id")))
-        .withColumn("keep", F.col("keep") & (F.when(F.col("keep"), first).otherwise(F.lit(1)) == 1))
-        .unionByName(lone.withColumn("keep", F.lit(True)))
-    )
+    # the rows of a component's least id are its candidates; ids may be null or repeated in
+    # other components, so they are ranked inside their own
+    first = F.row_number().over(Window.partitionBy("root", "doc_id").orderBy("node")) == 1
+    keep = F.col("doc_id").eqNullSafe(F.col("group_id")) & first
+    return named.select("doc_id", "group_id", keep.alias("keep")).unionByName(lone.withColumn("keep", F.lit(True)))

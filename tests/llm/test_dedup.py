@@ -111,6 +111,15 @@ def test_simhash_repeats(documents):
     assert simhash.groups(documents([])).count() == 0
 
 
+def test_simhash_keeps_one_row_a_component(documents):
+    """Null and repeated ids name several groups; each keeps a row of its own."""
+    one, two, three = ("red fox runs over hills", "quiet rivers carry cold stones", "seven old clocks strike noon")
+    got = simhash.groups(documents([one, two, three, one], [None, None, None, None])).collect()
+    assert sorted(r["keep"] for r in got) == [False, True, True, True]
+    got = simhash.groups(documents([one, two, three, three, one], [5, 5, None, 7, 5])).collect()
+    assert sorted((r["doc_id"] or 0, r["keep"]) for r in got) == [(0, False), (5, False), (5, True), (5, True), (7, True)]
+
+
 def test_simhash_on_documents(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in d.collect()]
