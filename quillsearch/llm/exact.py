@@ -15,31 +15,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tools import checked_broadcast, cut
+from .tools import checked_broadcast, cut, text_key
 
 #: Characters of the prefix that the second round hashes.
 PREFIX = 64
 
 
-def groups(documents: DataFrame) -> DataFrame:
-    """Columns doc_id, group_id, copies, keep: one row per row of documents."""
+def groups(documents: DataFrame, keyed: bool = True) -> DataFrame:
+    """Columns doc_id, group_id, copies, keep: one row per row of documents.
+
+    If keyed, text_key too, by which ``tools.keep_rows`` finds the rows again."""
+    key = [text_key(F.col("text")).alias("text_key")] if keyed else []
+    also = ["text_key"] if keyed else []
     length, prefix = F.octet_length("text").alias("size"), F.xxhash64(F.substring("text", 1, PREFIX)).alias("prefix")
-    narrow = cut(documents.select("doc_id", F.col("text").isNull().alias("missing"), length, prefix))
+    narrow = cut(documents.select("doc_id", F.col("text").isNull().alias("missing"), length, prefix, *key))
     # one shuffle serves both rounds: the prefix round only splits groups of one length
     by_size = narrow.where("not missing").groupBy("size", "prefix").agg(F.count("*").alias("n"))
     lengths = by_size.withColumn("all", F.sum("n").over(Window.partitionBy("size"))).where("all > 1")
     keys = checked_broadcast(lengths.where("n > 1").select("size", "prefix"))
-    left = documents.where(F.col("text").isNotNull()).select("doc_id", "text", length, prefix).join(keys, ["size", "prefix"], "left_semi")
-    full = left.select("doc_id", "size", F.sha2(F.encode("text", "utf-8"), 256).alias("hash"))
+    left = documents.where(F.col("text").isNotNull()).select("doc_id", "text", length, prefix, *key).join(keys, ["size", "prefix"], "left_semi")
+    full = left.select("doc_id", "size", F.sha2(F.encode("text", "utf-8"), 256).alias("hash"), *also)
     same = Window.partitionBy("size", "hash")
     copies = full.select(
         "doc_id",
         F.min("doc_id").over(same).alias("group_id"),
         F.count("*").over(same).alias("copies"),
         (F.row_number().over(same.orderBy(F.col("doc_id").asc_nulls_last())) == 1).alias("keep"),
+        *also,
     )
     single = narrow.join(keys, ["size", "prefix"], "left_anti")
-    return copies.unionByName(single.select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("keep")))
+    return copies.unionByName(single.select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("keep"), *also))
 
 
 ORACLE = """

@@ -22,11 +22,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.groups(table(spark, sf_dir, "documents"))
+    return simhash.groups(table(spark, sf_dir, "documents"), keyed=False)
 
 
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.groups(table(spark, sf_dir, "documents"))
+    return exact.groups(table(spark, sf_dir, "documents"), keyed=False)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .tools import cut, over_text, parts
+from .tools import cut, over_text, parts, text_key
 
 #: Reach of the replication beyond the covering radius.
 THRESHOLD = 3
@@ -314,28 +314,34 @@ def components(edges: DataFrame) -> DataFrame:
         edges = now
 
 
-def marked(documents: DataFrame) -> DataFrame:
-    """Narrow rows (doc_id, fp, chk, node, missing) with the fingerprints of each text."""
+def marked(documents: DataFrame, keyed: bool = False) -> DataFrame:
+    """Narrow rows (doc_id, fp, chk, node, missing) with the fingerprints of each text; text_key if keyed."""
+    also = ("doc_id", "text_key") if keyed else ("doc_id",)
+    key = [text_key(F.col("text")).alias("text_key")] if keyed else []
 
     def work(raw: np.ndarray, at: np.ndarray, batch: pa.RecordBatch) -> dict:
         fp, check = fingerprints(raw, at)
-        return {"doc_id": batch.column("doc_id"), "fp": fp.view(np.int64), "chk": check.view(np.int64), "node": name(fp, check), "missing": batch.column("text").is_null()}
+        return {c: batch.column(c) for c in also} | {"fp": fp.view(np.int64), "chk": check.view(np.int64), "node": name(fp, check), "missing": batch.column("text").is_null()}
 
-    return over_text(documents, "doc_id long, fp long, chk long, node long, missing boolean", work)
+    schema = f"doc_id long, {'text_key binary, ' if keyed else ''}fp long, chk long, node long, missing boolean"
+    return over_text(documents.select("doc_id", "text", *key), schema, work, also=also)
 
 
-def groups(documents: DataFrame) -> DataFrame:
-    """Columns doc_id, group_id, keep: one row per row of documents."""
-    rows = cut(marked(documents))
+def groups(documents: DataFrame, keyed: bool = True) -> DataFrame:
+    """Columns doc_id, group_id, keep: one row per row of documents.
+
+    If keyed, text_key too, by which ``tools.keep_rows`` finds the rows again."""
+    also = ["text_key"] if keyed else []
+    rows = cut(marked(documents, keyed))
     known = rows.where(~F.col("missing"))
     nodes = cut(known.groupBy("node", "fp", "chk").agg(F.min("doc_id").alias("least")))
     roots = components(near_edges(nodes))
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = labelled.withColumn("group_id", F.min("least").over(Window.partitionBy("root")))
     named = known.join(labelled.select("node", "root", "group_id").distinct(), "node", "left")
-    lone = rows.where("missing").select("doc_id", F.col("doc_id").alias("group_id"))
+    lone = rows.where("missing").select("doc_id", F.col("doc_id").alias("group_id"), *also)
     # the rows of a component's least id are its candidates; ids may be null or repeated in
     # other components, so they are ranked inside their own
-    first = F.row_number().over(Window.partitionBy("root", "doc_id").orderBy("node")) == 1
+    first = F.row_number().over(Window.partitionBy("root", "doc_id").orderBy("node", *also)) == 1
     keep = F.col("doc_id").eqNullSafe(F.col("group_id")) & first
-    return named.select("doc_id", "group_id", keep.alias("keep")).unionByName(lone.withColumn("keep", F.lit(True)))
+    return named.select("doc_id", "group_id", keep.alias("keep"), *also).unionByName(lone.withColumn("keep", F.lit(True)))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,25 +69,35 @@ def checked_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(done) if done.count() <= BROADCAST_ROWS else done
 
 
+def text_key(text: Column) -> Column:
+    """Half of a text's SHA-256, as 16 bytes: with the doc_id it says which row a decision is for."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
 def keep_rows(documents: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of documents that ``judged`` (doc_id, keep) keeps, with their columns.
+    """The rows of documents that ``judged`` (doc_id, text_key, keep) keeps, with their columns.
 
-    What goes is usually the smaller side, so only that is joined.  Of rows that
-    share a doc_id as many stay as are kept; which of them is arbitrary."""
-    ids = judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.col("keep").cast("int")).alias("kept"))
+    What goes is usually the smaller side, so only that is joined.  Of rows equal in
+    doc_id and text as many stay as are kept, the first by a hash of all their columns."""
+    ids = judged.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.sum(F.col("keep").cast("int")).alias("kept"))
     odd = cut(ids.where("kept < rows"))
-    gone = odd.where("kept = 0").select("doc_id")
+    gone = odd.where("kept = 0")
     some = odd.where("kept > 0")
     n = odd.count()
     mark = (lambda x: F.broadcast(x)) if n <= BROADCAST_ROWS else (lambda x: x)
-    (key,) = fresh(documents, "gone_id")
-    match = documents["doc_id"].eqNullSafe(F.col(key))
-    left = documents.join(mark(gone.withColumnRenamed("doc_id", key)), match, "left_anti")
+    own, key, text, kept, rank = fresh(documents, "own_key", "some_id", "some_key", "kept_rows", "row_rank")
+    left = documents.withColumn(own, text_key(F.col("text")))
+
+    def named(side: DataFrame) -> DataFrame:
+        return mark(side.select(F.col("doc_id").alias(key), F.col("text_key").alias(text), F.col("kept").alias(kept)))
+
+    match = F.col("doc_id").eqNullSafe(F.col(key)) & F.col(own).eqNullSafe(F.col(text))
+    left = left.join(named(gone), match, "left_anti")
     if not some.isEmpty():
-        key, kept, rank = fresh(documents, "some_id", "kept_rows", "row_rank")
-        part = some.select(F.col("doc_id").alias(key), F.col("kept").alias(kept))
-        same = left["doc_id"].eqNullSafe(F.col(key))
-        whole = left.join(mark(part), same, "left_anti")
-        ranked = left.join(mark(part), same).withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1))))
-        left = whole.unionByName(ranked.where(F.col(rank) <= F.col(kept)).drop(key, kept, rank))
-    return left
+        whole = left.join(named(some), match, "left_anti")
+        # maps can't be hashed
+        columns = [f.name for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
+        order = F.xxhash64(*(F.col(f"`{c}`") for c in columns))
+        ranked = left.join(named(some), match).withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", own).orderBy(order)))
+        left = whole.unionByName(ranked.where(F.col(rank) <= F.col(kept)).drop(key, text, kept, rank))
+    return left.drop(own)

@@ -36,6 +36,19 @@ def test_keep_rows(documents):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == [(0, ""), (1, "x"), (2, "y")]
 
 
+@pytest.mark.parametrize("op", (exact, simhash))
+@pytest.mark.parametrize("most", (tools.BROADCAST_ROWS, 0))
+def test_keep_rows_of_shared_ids(documents, monkeypatch, op, most):
+    """Decisions are for rows: texts under one id, or without ids, stay once each."""
+    monkeypatch.setattr(tools, "BROADCAST_ROWS", most)
+    one, two, three = ("red fox runs over hills", "quiet rivers carry cold stones", "seven old clocks strike noon")
+    d = documents([one, one, two, three, two, None, None, three, one], [None, None, None, None, None, None, 3, 5, 5], extra=CLASH)
+    left = tools.keep_rows(d, op.groups(d))
+    assert left.columns == d.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect())
+    assert got == sorted([(5, one), (0, two), (5, three), (0, ""), (3, "")])
+
+
 def test_golay_code():
     low, leaders, _, _ = simhash.golay()
     assert np.bitwise_count(leaders).max() == simhash.RADIUS  # the code is perfect
