@@ -1,9 +1,10 @@
 """SimHash near-duplicates by anchor-point covering.
 
 A text has a 46-bit SimHash of its words (weights 1 + log2 of the count, in
-whole steps) and a 64-bit SimHash of its word bigrams.  Two texts are near
-copies if the first differ in at most ``2 * THRESHOLD`` bits and the second in
-at most ``CHECK_BITS``; groups are the connected components.
+whole steps) and a 128-bit SimHash of its word bigrams, in two halves.  Two texts
+are near copies if the first differ in at most ``2 * THRESHOLD`` bits and the
+second in at most ``BOTH_BITS``, of them ``CHECK_BITS`` in the first half; groups
+are the connected components.
 
 Candidates come from a covering code: the direct sum of two binary Golay codes,
 each perfect with covering radius 3, gives 2**24 anchors.  A fingerprint is
@@ -35,10 +36,11 @@ from .tools import cut, over_text, parts, text_key
 
 #: Reach of the replication beyond the covering radius.
 THRESHOLD = 3
-#: Most bits in which the bigram fingerprints of near copies differ.  Unrelated texts of
-#: one language are some 28 apart; at 18 bits one pair in 8 million passed both tests by
-#: chance, at 14 one in 100 million, while copies with a tenth of their words changed stay.
-CHECK_BITS = 14
+#: Most bits in which the bigram fingerprints of near copies differ, in the first half and
+#: in both.  Half a fingerprint can't part changed copies from unrelated texts (some 28 bits
+#: apart there); both halves do: of 43 million pairs of texts no unrelated one within 6 bits
+#: came below 43, and of copies with a tenth of their words changed within 6 bits 99 % stay.
+CHECK_BITS, BOTH_BITS = 22, 38
 BLOCK, RADIUS = 23, 3
 _LANES = np.uint64(0x0101010101010101)
 
@@ -66,7 +68,12 @@ def simhash(hashes: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int) -
 
 
 def fingerprints(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 46-bit word and the 64-bit bigram SimHash of each text."""
+    """The 46-bit word SimHash and the first half of the bigram SimHash of each text."""
+    return signatures(raw, at)[:2]
+
+
+def signatures(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 46-bit word SimHash and both halves of the bigram SimHash of each text."""
     n = len(at) - 1
     h, first = kernels.words(raw, at)
     owner = kernels.owners(first)
@@ -90,9 +97,12 @@ def fingerprints(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     lead = np.concatenate([[np.uint64(1)], h[:-1]]) if len(h) else h
     lead[first[:-1][np.diff(first) > 0]] = np.uint64(1)
     pairs = kernels.mix(lead * np.uint64(0x9E3779B97F4A7C15) + h)
-    check = simhash(pairs, owner, np.ones(len(h), dtype=np.uint64), n)
+    once = np.ones(len(h), dtype=np.uint64)
+    check = simhash(pairs, owner, once, n)
+    more = simhash(kernels.mix(pairs ^ np.uint64(0x5BD1E995)), owner, once, n)
     words[bare], check[bare] = lone, kernels.mix(lone)
-    return words & np.uint64((1 << 2 * BLOCK) - 1), check
+    more[bare] = kernels.mix(check[bare])
+    return words & np.uint64((1 << 2 * BLOCK) - 1), check, more
 
 
 @cache
@@ -178,10 +188,10 @@ def middle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return low
 
 
-def bucket_edges(anchor: np.ndarray, fp: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_edges(anchor: np.ndarray, fp: np.ndarray, check: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a spanning forest of the near pairs settled at these anchors."""
     order = np.argsort(anchor, kind="stable")
-    anchor, fp, check = anchor[order], fp[order], check[order]
+    anchor, fp, check, more = anchor[order], fp[order], check[order], more[order]
     left, right = [], []
     here = np.arange(len(anchor))
     step = 1
@@ -189,7 +199,10 @@ def bucket_edges(anchor: np.ndarray, fp: np.ndarray, check: np.ndarray) -> tuple
         here = here[here + step < len(anchor)]
         here = here[anchor[here] == anchor[here + step]]
         x, y = fp[here], fp[here + step]
-        hit = (np.bitwise_count(x ^ y) <= 2 * THRESHOLD) & (np.bitwise_count(check[here] ^ check[here + step]) <= CHECK_BITS)
+        hit = np.bitwise_count(x ^ y) <= 2 * THRESHOLD
+        near = here[hit]
+        half = np.bitwise_count(check[near] ^ check[near + step])
+        hit[hit] = (half <= CHECK_BITS) & (half + np.bitwise_count(more[near] ^ more[near + step]) <= BOTH_BITS)
         hit[hit] = nearest(middle(x[hit], y[hit])) == anchor[here[hit]]
         left.append(here[hit])
         right.append(here[hit] + step)
@@ -214,13 +227,13 @@ def bucket_edges(anchor: np.ndarray, fp: np.ndarray, check: np.ndarray) -> tuple
     return order[a[keep]], order[b[keep]]
 
 
-def name(fp: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """A node's 64-bit name, from both fingerprints."""
-    return kernels.mix(kernels.mix(fp) + check).view(np.int64)
+def name(fp: np.ndarray, check: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A node's 64-bit name, from all its fingerprints."""
+    return kernels.mix(kernels.mix(kernels.mix(fp) + check) + more).view(np.int64)
 
 
 def near_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct nodes (node, fp, chk) that are near copies.
+    """Edges (a, b) between distinct nodes (node, fp, chk, more) that are near copies.
 
     Replicas travel as packed blocks, one per target cell of the anchor space,
     not as single rows."""
@@ -234,7 +247,7 @@ def near_edges(nodes: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                fp, check = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "chk"))
+                fp, check, more = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "chk", "more"))
                 who, anchor = anchors(fp)
                 info = compact(anchor)
                 cell = (kernels.mix(info & np.uint32(0xFFF)) % np.uint64(coarse)) * np.uint64(fine) + kernels.mix(info >> np.uint32(12)) % np.uint64(fine)
@@ -246,31 +259,32 @@ def near_edges(nodes: DataFrame) -> DataFrame:
                 blobs = []
                 for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cell)], strict=False):
                     row, count = np.unique(who[a:b], return_counts=True)
-                    blobs.append(np.int32(len(row)).tobytes() + fp[row].tobytes() + check[row].tobytes() + count.astype(np.uint16).tobytes() + three[a:b].tobytes())
+                    blobs.append(np.int32(len(row)).tobytes() + fp[row].tobytes() + check[row].tobytes() + more[row].tobytes() + count.astype(np.uint16).tobytes() + three[a:b].tobytes())
                 yield pa.RecordBatch.from_pydict({"cell": pa.array(cell[first]), "block": pa.array(blobs, pa.binary())})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fp, check, count, three = [], [], [], []
+        fp, check, more, count, three = [], [], [], [], []
         for batch in batches:
             for blob in batch.column("block"):
                 data = blob.as_buffer()
                 n = int(np.frombuffer(data, np.int32, 1)[0])
                 fp.append(np.frombuffer(data, np.uint64, n, 4))
                 check.append(np.frombuffer(data, np.uint64, n, 4 + 8 * n))
-                count.append(np.frombuffer(data, np.uint16, n, 4 + 16 * n))
-                three.append(np.frombuffer(data, np.uint8, -1, 4 + 18 * n))
+                more.append(np.frombuffer(data, np.uint64, n, 4 + 16 * n))
+                count.append(np.frombuffer(data, np.uint16, n, 4 + 24 * n))
+                three.append(np.frombuffer(data, np.uint8, -1, 4 + 26 * n))
         if not fp:
             return
-        fp, check, count, three = map(np.concatenate, (fp, check, count, three))
+        fp, check, more, count, three = map(np.concatenate, (fp, check, more, count, three))
         who = np.repeat(np.arange(len(fp)), count)
         three = three.reshape(-1, 3).astype(np.uint32)
         info = three[:, 0] | three[:, 1] << np.uint32(8) | three[:, 2] << np.uint32(16)
-        a, b = bucket_edges(expand(info), fp[who], check[who])
-        node = name(fp, check)
+        a, b = bucket_edges(expand(info), fp[who], check[who], more[who])
+        node = name(fp, check, more)
         a, b = node[who[a]], node[who[b]]
         yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    blocks = nodes.select("fp", "chk").repartition(cells).mapInArrow(scatter, "cell int, block binary")
+    blocks = nodes.select("fp", "chk", "more").repartition(cells).mapInArrow(scatter, "cell int, block binary")
     return blocks.repartitionById(cells, "cell").mapInArrow(meet, "a long, b long")
 
 
@@ -315,15 +329,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def marked(documents: DataFrame, keyed: bool = False) -> DataFrame:
-    """Narrow rows (doc_id, fp, chk, node, missing) with the fingerprints of each text; text_key if keyed."""
+    """Narrow rows (doc_id, fp, chk, more, node, missing) with the fingerprints of each text; text_key if keyed."""
     also = ("doc_id", "text_key") if keyed else ("doc_id",)
     key = [text_key(F.col("text")).alias("text_key")] if keyed else []
 
     def work(raw: np.ndarray, at: np.ndarray, batch: pa.RecordBatch) -> dict:
-        fp, check = fingerprints(raw, at)
-        return {c: batch.column(c) for c in also} | {"fp": fp.view(np.int64), "chk": check.view(np.int64), "node": name(fp, check), "missing": batch.column("text").is_null()}
+        fp, check, more = signatures(raw, at)
+        return {c: batch.column(c) for c in also} | {"fp": fp.view(np.int64), "chk": check.view(np.int64), "more": more.view(np.int64), "node": name(fp, check, more), "missing": batch.column("text").is_null()}
 
-    schema = f"doc_id long, {'text_key binary, ' if keyed else ''}fp long, chk long, node long, missing boolean"
+    schema = f"doc_id long, {'text_key binary, ' if keyed else ''}fp long, chk long, more long, node long, missing boolean"
     return over_text(documents.select("doc_id", "text", *key), schema, work, also=also)
 
 
@@ -334,7 +348,7 @@ def groups(documents: DataFrame, keyed: bool = True) -> DataFrame:
     also = ["text_key"] if keyed else []
     rows = cut(marked(documents, keyed))
     known = rows.where(~F.col("missing"))
-    nodes = cut(known.groupBy("node", "fp", "chk").agg(F.min("doc_id").alias("least")))
+    nodes = cut(known.groupBy("node", "fp", "chk", "more").agg(F.min("doc_id").alias("least")))
     roots = components(near_edges(nodes))
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = labelled.withColumn("group_id", F.min("least").over(Window.partitionBy("root")))

@@ -133,6 +133,32 @@ def test_simhash_keeps_one_row_a_component(documents):
     assert sorted((r["doc_id"] or 0, r["keep"]) for r in got) == [(0, False), (5, False), (5, True), (5, True), (7, True)]
 
 
+def test_simhash_confirms_changed_copies(documents, spark):
+    """By the texts: copies within 6 bits that share half their bigrams are linked, unlike texts are not."""
+    rng = np.random.default_rng(5)
+    base = [t.split(" ") for (t,) in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").select("text").distinct().orderBy("text").limit(60).collect() if len(t.split(" ")) > 30]
+    book = [w for t in base for w in t]
+    texts = []
+    for words in base:
+        copy = list(words)
+        for k in rng.choice(len(copy), max(1, len(copy) // 10), replace=False):
+            copy[k] = book[rng.integers(len(book))]
+        texts += [" ".join(words), " ".join(copy)]
+    fp = simhash.fingerprints(*brute.split(texts))[0]
+    bags = [{(a, b) for a, b in zip(["", *w], w)} for w in (brute_words(t) for t in texts)]
+    got = dict(simhash.groups(documents(texts)).select("doc_id", "group_id").collect())
+    near, far = [], []
+    for i in range(len(texts)):
+        for j in range(i):
+            like = len(bags[i] & bags[j]) / len(bags[i] | bags[j])
+            if like >= 0.5 and int(fp[i] ^ fp[j]).bit_count() <= 6:
+                near.append(got[i] == got[j])
+            elif like < 0.2:
+                far.append(got[i] == got[j])
+    assert len(near) >= 20 and sum(near) >= 0.97 * len(near)
+    assert far and not any(far)
+
+
 def test_simhash_on_documents(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in d.collect()]
