@@ -10,6 +10,9 @@ decoded by itself.  Decoding walks all blocks at once through one table of
 Defined cases: a null or empty text has no ids, no bits and no checkpoints; a
 single distinct id gets a code of one bit; ids without a count have no code, and
 encoding one raises; equal counts are ordered by id.
+
+The codes follow from the lengths, so a checked result carries them: the first row
+of each partition has ``code_lengths``, a byte per id, the same in all of them.
 """
 
 from __future__ import annotations
@@ -148,8 +151,11 @@ def binary(at: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def encode(documents: DataFrame, vocabulary: str = bpe.VOCABULARY, limit: int = LIMIT) -> tuple[DataFrame, np.ndarray]:
-    """Columns doc_id, n_ids, data, checkpoints; and the code lengths by id."""
+def encode(documents: DataFrame, vocabulary: str = bpe.VOCABULARY, limit: int = LIMIT, checked: bool = False) -> tuple[DataFrame, np.ndarray]:
+    """Columns doc_id, n_ids, data, checkpoints; and the code lengths by id.
+
+    If checked, also exact, whether decoding from the checkpoints gives a document's
+    ids back, and code_lengths (see ``stored_lengths``)."""
 
     def tokens(raw: np.ndarray, at: np.ndarray, batch: pa.RecordBatch) -> dict:
         ids, cuts = bpe.encoder(vocabulary).encode(raw, at)
@@ -189,15 +195,35 @@ def encode(documents: DataFrame, vocabulary: str = bpe.VOCABULARY, limit: int =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
+        table = codec.lengths.astype(np.uint8).tobytes()
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
                 ids, at = unpacked(batch)
                 data, byte_at, points, point_at = codec.encode(ids, at)
                 marks = pa.ListArray.from_arrays(pa.array(point_at.astype(np.int32)), pa.array(points))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_ids": np.diff(at), "data": binary(byte_at, data), "checkpoints": marks})
+                out = {"doc_id": batch.column("doc_id"), "n_ids": np.diff(at), "data": binary(byte_at, data), "checkpoints": marks}
+                if checked and batch.num_rows:
+                    wrong = codec.decode(data, byte_at, points, point_at, np.diff(at)) != ids
+                    before = np.concatenate([[0], np.cumsum(wrong)])
+                    out["exact"] = before[at[1:]] == before[at[:-1]]
+                    out["code_lengths"] = pa.array([table] + [None] * (batch.num_rows - 1), pa.binary())
+                    table = None
+                yield pa.RecordBatch.from_pydict(out)
+
+    schema = "doc_id long, n_ids long, data binary, checkpoints array<long>"
+    return rows.mapInArrow(write, schema + (", exact boolean, code_lengths binary" if checked else "")), lengths
+
+
+def encode_and_check(documents: DataFrame, vocabulary: str = bpe.VOCABULARY, limit: int = LIMIT) -> DataFrame:
+    """Columns doc_id, n_ids, data, checkpoints, exact, code_lengths: a result that can be decoded by itself."""
+    return encode(documents, vocabulary, limit, checked=True)[0]
+
 
-    return rows.mapInArrow(write, "doc_id long, n_ids long, data binary, checkpoints array<long>"), lengths
+def stored_lengths(encoded: DataFrame) -> np.ndarray:
+    """The code lengths by id that a checked result carries."""
+    row = encoded.where(F.col("code_lengths").isNotNull()).select("code_lengths").first()
+    return np.frombuffer(bytes(row[0]), np.uint8).astype(np.int64) if row else np.zeros(1, np.int64)
 
 
 def decode(encoded: DataFrame, lengths: np.ndarray) -> DataFrame:

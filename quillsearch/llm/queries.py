@@ -51,7 +51,7 @@ def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.encode(table(spark, sf_dir, "documents"))[0]
+    return huffman.encode_and_check(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

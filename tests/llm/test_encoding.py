@@ -112,6 +112,21 @@ def test_huffman_round_trip(documents):
     assert one.tolist() == want[r["doc_id"]][huffman.BLOCK : 2 * huffman.BLOCK]
 
 
+def test_huffman_result_can_be_decoded(spark, documents, tmp_path):
+    """From the registered query's rows alone, written and read again."""
+    from quillsearch.llm import queries
+
+    every = texts()
+    documents(every, extra=CLASH).write.parquet(f"{tmp_path}/documents.parquet")
+    queries.queries()["op10_huffman"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == len(every) and out.where("exact").count() == len(every)
+    want = {r["doc_id"]: r["ids"] for r in bpe.encode(documents(every)).collect()}
+    assert {r["doc_id"]: r["ids"] for r in huffman.decode(out, huffman.stored_lengths(out)).collect()} == want
+    assert huffman.encode_and_check(documents([])).count() == 0
+    assert len(huffman.stored_lengths(huffman.encode_and_check(documents([])))) == 1
+
+
 def test_huffman_few(documents):
     coded, lengths = huffman.encode(documents([]))
     assert coded.count() == 0
