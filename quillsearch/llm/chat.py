@@ -60,7 +60,7 @@ def messages(conversations: DataFrame) -> DataFrame:
     parts = F.when(typed, parsed).otherwise(plain)
     base = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), parts.alias("parts"))
     refs = F.filter(
-        F.transform("parts", lambda p, i: F.struct(i.cast("long").alias("place"), F.when(p["type"].isin(*KINDS), p["type"]).otherwise(F.lit("unknown")).alias("type"), F.coalesce(p["url"], F.lit("")).alias("url"))),
+        F.transform("parts", lambda p, i: F.struct(i.cast("long").alias("place"), F.when(p["type"].isin(*KINDS), p["type"]).otherwise(F.lit("unknown")).alias("type"), F.coalesce(p["url"], F.lit("")).alias("url"), cost(p).alias("tokens"))),
         lambda r: r["type"] != "text",
     )
     return base.select(
@@ -74,7 +74,9 @@ def messages(conversations: DataFrame) -> DataFrame:
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """Columns conv_id, n_turns, text, n_tokens, attachments: one row per conversation."""
+    """Columns conv_id, n_turns, text, n_tokens, attachments, attachment_tokens: one row per conversation.
+
+    attachment_tokens has the expanded count of each attachment, in their order."""
     # turns sort by their fields; null turns first, as in SQL here
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "content", "tokens", "refs")))
     whole = messages(conversations).groupBy("conv_id").agg(order.alias("turns"))
@@ -86,6 +88,7 @@ def render(conversations: DataFrame) -> DataFrame:
         F.array_join(F.transform("turns", line), "").alias("text"),
         F.aggregate("turns", F.lit(0).cast("long"), lambda total, m: total + m["tokens"]).alias("n_tokens"),
         F.array_join(refs, "\n").alias("attachments"),
+        F.flatten(F.transform("turns", lambda m: F.transform(m["refs"], lambda r: r["tokens"]))).alias("attachment_tokens"),
     )
 
 

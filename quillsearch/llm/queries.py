@@ -34,7 +34,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.render(table(spark, sf_dir, "conversations"))
+    return chat.render(table(spark, sf_dir, "conversations")).drop("attachment_tokens")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

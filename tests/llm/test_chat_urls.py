@@ -45,6 +45,15 @@ def test_parts(spark):
         assert got[i]["attachments"] == "\n".join(f"0:{k}:{kind}:{url}" for k, kind, url in refs)
 
 
+def test_each_attachment_has_its_count(spark):
+    parts = [{"type": "text", "text": "a b"}, {"type": "image", "url": "u", "width": 56, "height": 29}, {"type": "audio", "seconds": 2}, {"type": "video"}]
+    rows = [(1, 1, "user", json.dumps(parts), "", ""), (1, 0, "user", json.dumps([{"type": "document", "pages": 3}]), "", ""), (2, 0, "user", "plain", "", "")]
+    got = render(spark, rows)
+    assert got[1]["attachments"].split("\n") == ["0:0:document:", "1:1:image:u", "1:2:audio:", "1:3:unknown:"]
+    assert got[1]["attachment_tokens"] == [1536, 4, 50, 0] and got[1]["n_tokens"] == 1592
+    assert got[2]["attachment_tokens"] == []
+
+
 def test_order_and_nulls(spark):
     rows = [(1, 2, "assistant", "b", "", ""), (1, 1, "user", "a", "", ""), (1, 1, "user", "a", "", ""), (1, None, None, None, "", ""), (None, 0, "user", "x" * 200000, "", "")]
     got = render(spark, rows)
