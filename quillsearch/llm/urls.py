@@ -3,7 +3,7 @@
 Per host the paths form a tree of segments (the query string counts as one more
 segment of its parameter names).  Segments that look variable (digits, hex,
 dates, long mixed strings) become wildcards, and so do siblings that are many
-and rare.  Branches of one parent merge when the paths below them are distributed
+and rare, but for those whose labels differ from the wildcard's beyond chance.  Branches of one parent merge when the paths below them are distributed
 alike (Jensen-Shannon divergence up to ``DIVERGENCE``) and their shares of bad
 labels don't differ beyond chance (two proportions, ``Z``).  A template's purity is
 the share of bad labels among its pages, smoothed towards the whole share; a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .tools import BROADCAST_ROWS, cut
 
-#: A parent with more distinct children than this turns those below RARE of it into a wildcard.
+#: A parent with more distinct children than this turns those below RARE of it, and with like labels, into a wildcard.
 MOST, RARE = 32, 0.02
 DIVERGENCE, Z = 0.1, 1.96
 SMOOTHING = 10.0
@@ -130,25 +130,31 @@ def generalise(paths: list[str], counts: list[int], labels: list[int] | None = N
             out[path] = prefix or "/"
         children = node.children
         if len(children) > MOST:
-            for name in [n for n, c in sorted(children.items()) if c.count < RARE * node.count and not n.startswith(("*", "?"))]:
-                child = children.pop(name)
-                if "*" in children:
-                    absorb(children["*"], child)
-                else:
-                    children["*"] = child
+            rare = [(n, c) for n, c in sorted(children.items()) if c.count < RARE * node.count and not n.startswith(("*", "?"))]
+            # too few labels tell nothing; the others follow by how near they are to the middle
+            # branch, so that no odd one sets the wildcard's share
+            told = [(n, c) for n, c in rare if c.labels >= LEAST_LABELS]
+            middle = float(np.median([c.bad / c.labels for _, c in told])) if told else 0.0
+            told.sort(key=lambda x: abs(x[1].bad / x[1].labels - middle))
+            for name, child in [(n, c) for n, c in rare if c.labels < LEAST_LABELS] + told:
+                if "*" not in children:
+                    children["*"] = children.pop(name)
+                elif child.labels < LEAST_LABELS or not unlike_labels(children["*"], child):
+                    absorb(children["*"], children.pop(name))
         # branches that go on alike below, with labels alike, become one
-        merged: list[tuple[list[str], Node]] = []
+        merged: list[tuple[list[str], Node, dict[str, int]]] = []
         for name, child in sorted(children.items(), key=lambda x: (-x[1].count, x[0])):
-            home = None
+            home, shape = None, {}
             if len(children) > 1 and child.children and not name.startswith("?"):
                 shape = child.shape()
-                home = next((m for m in merged if m[1].children and not unlike_labels(m[1], child) and divergence(m[1].shape(), shape) <= DIVERGENCE), None)
+                home = next((m for m in merged if m[1].children and not unlike_labels(m[1], child) and divergence(m[2], shape) <= DIVERGENCE), None)
             if home:
                 absorb(home[1], child)
                 home[0].append(name)
+                home[2].update(home[1].shape())
             else:
-                merged.append(([name], child))
-        for names, child in merged:
+                merged.append(([name], child, shape))
+        for names, child, _ in merged:
             todo.append((child, f"{prefix}/{'*' if '*' in names else '|'.join(sorted(names))}"))
     return out
 

@@ -100,6 +100,18 @@ def test_many_siblings_become_a_wildcard():
     assert got["/u3x/view"] == "/*/view" and got["/help/faq"] == "/help/faq"
 
 
+def test_rare_branches_keep_their_labels():
+    """Of many rare siblings an unlike one stays apart, whichever sorts first."""
+    for odd in ("aaa", "zzz"):
+        paths = [f"/s{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}/view" for i in range(100)] + [f"/{odd}/view", "/help/faq"]
+        bad = [0.0] * 100 + [2000.0, 0.0]
+        got = urls.generalise(paths, [2000] * 102, [20] * 100 + [2000, 0], bad)
+        assert got[f"/{odd}/view"] == f"/{odd}/view" and {got[p] for p in paths[:100]} == {"/*/view"}
+        # the other way about: a clean branch among bad ones
+        got = urls.generalise(paths, [2000] * 102, [20] * 100 + [2000, 0], [20.0] * 100 + [0.0, 0.0])
+        assert got[f"/{odd}/view"] == f"/{odd}/view" and {got[p] for p in paths[:100]} == {"/*/view"}
+
+
 def test_no_labels_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, bad int")
     assert urls.templates(pages(spark, []), none).count() == 0
