@@ -9,13 +9,19 @@ pieces of like size go through their trees together, a level at a time; long
 ones have a tree of their own.
 
 Defined cases: a null text has no ids (an empty list) and decodes to an empty
-text; unknown ids raise; text is encoded as it is, so special tokens' names are
-ordinary text; invalid surrogates cannot occur in Spark strings.
+text; an empty text likewise; unknown ids raise; text is encoded as it is, so
+special tokens' names are ordinary text; invalid surrogates cannot occur in Spark
+strings; texts of any length are encoded whole, and pieces are told apart by all
+their bytes, not by a hash alone; repeated rows and doc_ids are encoded each, null
+ones too; an empty table gives no rows; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -95,12 +101,39 @@ def pieces(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+#: Bytes at either end of a piece that tell it apart.
+END = 8
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(END)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def ends(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Size, first and last bytes of each piece: up to 16 bytes they are the whole piece."""
+    window = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(END, np.uint8)]), strides=(1,))
+    mask = _MASKS[np.minimum(size, END)]
+    return np.stack([size.astype(np.uint64), window[start] & mask, window[np.maximum(start + size - END, start)] & mask], axis=1)
+
+
+def names(raw: np.ndarray, start: np.ndarray, size: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each piece; names of pieces under 8 bytes differ among these."""
+    out = told[:, 1] ^ told[:, 0] << np.uint64(56)
+    big = np.flatnonzero(size >= END)
+    if len(big):
+        out[big] = kernels.mix(told[big, 1] * np.uint64(0x9E3779B97F4A7C15) + told[big, 2]) ^ told[big, 0]
+        long = big[size[big] > 2 * END]
+        out[long] ^= kernels.run_hashes(raw, start[long], start[long] + size[long], kernels._RAW)
+    return kernels.mix(out)
+
+
 class Encoder:
     """A vocabulary of token bytes by rank, with what encoding needs."""
 
-    def __init__(self, path: str = VOCABULARY):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, vocabulary: bytes):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.size = max(ranks.values()) + 1
         tokens = [b""] * self.size
         for token, rank in ranks.items():
@@ -138,7 +171,11 @@ class Encoder:
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.known_start, self.known_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # what a piece is told by: its size, its ends, and where its bytes are kept
+        self.told = np.zeros((0, 3), np.uint64)
+        self.known_at = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
+        self.book = np.zeros(0, np.uint8)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -254,10 +291,10 @@ class Encoder:
                 put(p, none if r is None else r * m + p)
         return [i for i in ids if i >= 0]
 
-    def learn(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> None:
+    def learn(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, told: np.ndarray) -> None:
         """Encode distinct pieces and remember them."""
         order = np.argsort(sizes, kind="stable")
-        starts, sizes, hashes = starts[order], sizes[order], hashes[order]
+        starts, sizes, hashes, told = starts[order], sizes[order], hashes[order], told[order]
         lists, counts = [self.pool], []
         width = 2
         done = 0
@@ -281,11 +318,17 @@ class Encoder:
         size = np.concatenate(counts).astype(np.int64)
         start = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate(lists)
+        # bytes are kept of the pieces that their ends don't tell whole
+        kept = np.where(sizes > 2 * END, sizes, 0)
+        at = len(self.book) + np.cumsum(kept) - kept
+        self.book = np.concatenate([self.book, raw[spread(starts, kept)]])
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known)
         self.known = known[order]
         self.known_start = np.concatenate([self.known_start, start])[order]
         self.known_size = np.concatenate([self.known_size, size])[order]
+        self.known_at = np.concatenate([self.known_at, at])[order]
+        self.told = np.concatenate([self.told, told])[order]
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and the len+1 offsets of each text's."""
@@ -297,7 +340,8 @@ class Encoder:
         point_at = np.searchsorted(where, at)
         start = where[pieces(points, point_at)]
         size = np.diff(np.append(start, len(raw)))
-        h = kernels.run_hashes(raw, start, start + size, kernels._RAW)
+        told = ends(raw, start, size)
+        h = names(raw, start, size, told)
         distinct, index, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED:
             self.forget()
@@ -306,13 +350,31 @@ class Encoder:
         if len(self.known):
             new = self.known[np.minimum(spot, len(self.known) - 1)] != distinct
         if new.any():
-            self.learn(raw, start[index[new]], size[index[new]], distinct[new])
+            self.learn(raw, start[index[new]], size[index[new]], distinct[new], told[index[new]])
             spot = np.searchsorted(self.known, distinct)
-        count, begin = self.known_size[spot][inverse], self.known_start[spot][inverse]
+        mine = spot[inverse]
+        count, begin, pool = self.known_size[mine], self.known_start[mine], self.pool
+        odd = self.unlike(raw, start, size, told, mine)
+        if len(odd):
+            # other pieces of the same name are encoded by themselves
+            own = [np.array(self.merge_one(raw[start[k] : start[k] + size[k]]), dtype=np.int32) for k in odd.tolist()]
+            count[odd] = [len(x) for x in own]
+            begin[odd] = len(pool) + np.cumsum(count[odd]) - count[odd]
+            pool = np.concatenate([pool, *own])
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.pool[np.arange(total[-1]) + np.repeat(begin - total[:-1], count)]
+        ids = pool[np.arange(total[-1]) + np.repeat(begin - total[:-1], count)]
         return ids, total[np.searchsorted(start, at)]
 
+    def unlike(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, told: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """The pieces that differ from the remembered piece of their name, byte by byte."""
+        other = (told != self.told[mine]).any(axis=1)
+        long = np.flatnonzero((size > 2 * END) & ~other)
+        if len(long):
+            n = size[long]
+            wrong = raw[spread(start[long], n)] != self.book[spread(self.known_at[mine[long]], n)]
+            other[long] = np.add.reduceat(wrong, np.cumsum(n) - n, dtype=np.int64) > 0
+        return np.flatnonzero(other)
+
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts in a row, and their len+1 offsets."""
         if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= self.size or (self.lengths[ids] == 0).any()):
@@ -323,10 +385,33 @@ class Encoder:
         return raw, total[at]
 
 
+def read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @cache
 def encoder(path: str = VOCABULARY) -> Encoder:
-    """One encoder a worker process and vocabulary."""
-    return Encoder(path)
+    """One encoder a process and vocabulary, from a file of this machine."""
+    return Encoder(read(path))
+
+
+_made: dict[str, Encoder] = {}
+
+
+def shipped(documents: DataFrame, path: str) -> Callable[[], Encoder]:
+    """The encoder for the workers: the driver reads the file (about a megabyte) and
+    broadcasts it, so no other machine needs it.  A worker makes it once."""
+    data = read(path)
+    name = hashlib.sha256(data).hexdigest()
+    shared = documents.sparkSession.sparkContext.broadcast(data)
+
+    def get() -> Encoder:
+        if name not in _made:
+            _made[name] = Encoder(shared.value)
+        return _made[name]
+
+    return get
 
 
 def id_lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -335,21 +420,23 @@ def id_lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
 
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Columns doc_id, ids: one row per row of documents."""
+    made = shipped(documents, vocabulary)
 
     def work(raw: np.ndarray, at: np.ndarray, batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "ids": id_lists(*encoder(vocabulary).encode(raw, at))}
+        return {"doc_id": batch.column("doc_id"), "ids": id_lists(*made().encode(raw, at))}
 
     return over_text(documents, "doc_id long, ids array<int>", work)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Columns doc_id, text: the inverse of encode; null ids give a null text."""
+    made = shipped(encoded, vocabulary)
 
     def run(batches):
         for batch in batches:
             lists = batch.column("ids")
             at = lists.offsets.to_numpy()
-            raw, cuts = encoder(vocabulary).decode(lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0])
+            raw, cuts = made().decode(lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0])
             text = pa.LargeStringArray.from_buffers(len(batch), pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw.tobytes()))
             missing = lists.is_null()
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.compute.if_else(missing, None, text).cast(pa.string())})
@@ -359,14 +446,14 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def encode_and_check(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Columns doc_id, ids, exact: the ids, and whether decoding gives the text back."""
+    made = shipped(documents, vocabulary)
 
     def work(raw: np.ndarray, at: np.ndarray, batch: pa.RecordBatch) -> dict:
-        made = encoder(vocabulary)
-        ids, cuts = made.encode(raw, at)
-        back, ends = made.decode(ids, cuts)
-        exact = ends == at
+        ids, cuts = made().encode(raw, at)
+        back, stops = made().decode(ids, cuts)
+        exact = stops == at
         if not np.array_equal(back, raw):
-            exact[:-1] &= [np.array_equal(back[a:b], raw[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], at[:-1], at[1:], strict=True)]
+            exact[:-1] &= [np.array_equal(back[a:b], raw[c:d]) for a, b, c, d in zip(stops[:-1], stops[1:], at[:-1], at[1:], strict=True)]
         return {"doc_id": batch.column("doc_id"), "ids": id_lists(ids, cuts), "exact": exact[1:] & exact[:-1]}
 
     return over_text(documents, "doc_id long, ids array<int>, exact boolean", work)

@@ -9,7 +9,9 @@ decoded by itself.  Decoding walks all blocks at once through one table of
 
 Defined cases: a null or empty text has no ids, no bits and no checkpoints; a
 single distinct id gets a code of one bit; ids without a count have no code, and
-encoding one raises; equal counts are ordered by id.
+encoding one raises; equal counts are ordered by id; texts of any length are
+encoded whole; repeated rows and doc_ids are encoded each, null ones too; an empty
+table gives no rows; other columns, whatever their names, are not read.
 
 The codes follow from the lengths, so a checked result carries them: the first row
 of each partition has ``code_lengths``, a byte per id, the same in all of them.
@@ -157,10 +159,12 @@ def encode(documents: DataFrame, vocabulary: str = bpe.VOCABULARY, limit: int =
     If checked, also exact, whether decoding from the checkpoints gives a document's
     ids back, and code_lengths (see ``stored_lengths``)."""
 
+    made = bpe.shipped(documents, vocabulary)
+
     def tokens(raw: np.ndarray, at: np.ndarray, batch: pa.RecordBatch) -> dict:
-        ids, cuts = bpe.encoder(vocabulary).encode(raw, at)
+        ids, cuts = made().encode(raw, at)
         # ids travel as bytes between the two passes, two each where they fit
-        width = 2 if bpe.encoder(vocabulary).size <= 1 << 16 else 4
+        width = 2 if made().size <= 1 << 16 else 4
         return {"doc_id": batch.column("doc_id"), "width": np.full(len(at) - 1, width, dtype=np.int32), "ids": binary(cuts * width, ids.astype(f"<u{width}"))}
 
     rows = cut(over_text(documents, "doc_id long, width int, ids binary", tokens))

@@ -100,6 +100,9 @@ def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.n
     within = place - np.repeat(first, size)
     byte = raw[np.repeat(starts, size) + within]
     value = (fold[byte] + np.uint64(1)) * _POWERS[within & 4095]
+    if int(size.max()) > 4096:
+        # each block of a long run has a factor of its own, so blocks can't change places
+        value *= mix(within >> 12) | np.uint64(1)
     return mix(np.add.reduceat(value, first) ^ size.astype(np.uint64))
 
 

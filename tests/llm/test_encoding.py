@@ -12,13 +12,13 @@ from quillsearch.llm import bpe, huffman, packing
 from . import brute
 from .conftest import CLASH, ODD
 
-tiktoken = pytest.importorskip("tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WEIRD = ["'", "don't we'll they've 's x's!'t 'tis I'd've", "a \n b\n\n c  ", "é'm ok 'RE", "你好，世界 123abc 4५६", "a b 　c", "ab" * 300 + " " * 70, "😀😀 ok'll", " 's", "\t'tx", "l'l'll", "<|endoftext|>", "a" * 5000 + " " + "é" * 3000]
 
 
 @pytest.fixture(scope="module")
 def plain():
+    tiktoken = pytest.importorskip("tiktoken")
     with open(bpe.VOCABULARY, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -43,12 +43,33 @@ def test_bpe(documents, plain):
 
 def test_bpe_forgets_and_goes_on(plain, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
-    made = bpe.Encoder()
+    made = bpe.Encoder(bpe.read(bpe.VOCABULARY))
     for t in ("one two three four five six seven", "eight nine ten", "one two"):
         ids, _ = made.encode(*brute.split([t]))
         assert ids.tolist() == plain.encode_ordinary(t)
 
 
+SWAPPED = ["a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096, "!" * 4096 + "?" * 4096, "?" * 4096 + "!" * 4096]
+
+
+def test_blocks_that_change_places(documents, plain):
+    """Long runs of the same bytes in another order are other pieces."""
+    got = {r["doc_id"]: r for r in bpe.encode_and_check(documents(SWAPPED)).collect()}
+    for i, t in enumerate(SWAPPED):
+        assert got[i]["exact"] and got[i]["ids"] == plain.encode_ordinary(t)
+    out = huffman.encode_and_check(documents(SWAPPED))
+    assert {r["doc_id"]: r["ids"] for r in huffman.decode(out, huffman.stored_lengths(out)).collect()} == {i: r["ids"] for i, r in got.items()}
+
+
+def test_pieces_of_one_name(plain, monkeypatch):
+    """Pieces are compared by their bytes, so names that clash change nothing."""
+    monkeypatch.setattr(bpe, "names", lambda raw, start, size, told: size.astype(np.uint64) % np.uint64(3))
+    made = bpe.Encoder(bpe.read(bpe.VOCABULARY))
+    text = "some words of several lengths, incomprehensibilities, " + "x" * 40 + " " + "y" * 40 + " and " + "x" * 20 + "z" + "x" * 19
+    for t in (text, text[::-1], text):
+        assert made.encode(*brute.split([t]))[0].tolist() == plain.encode_ordinary(t)
+
+
 def test_bpe_empty_and_unknown(documents, spark):
     assert bpe.encode(documents([])).count() == 0
     made = bpe.encoder()
@@ -58,7 +79,7 @@ def test_bpe_empty_and_unknown(documents, spark):
 
 
 def test_tree_of_lists_equals_tree_of_arrays(plain):
-    made = bpe.Encoder()
+    made = bpe.Encoder(bpe.read(bpe.VOCABULARY))
     for piece in (b" thetheatheon" * 5, b"aaaaaaaaaaaa", b"x"):
         assert made.merge_one(np.frombuffer(piece, np.uint8)) == plain.encode_ordinary(piece.decode())
 
