@@ -15,17 +15,23 @@ task, so the task's size follows the distinct paths after wildcards, not pages.
 Defined cases: a null or empty URL has the empty host and the template ``/``; a
 scheme, user, port, ``www.``, ``m.`` and the fragment don't count; a null label is
 none; several labels of one page are averaged; without labels nothing is
-rejected; repeated rows count and are returned each.
+rejected; repeated rows count and are returned each; URLs of any length are split
+whole; among up to ``MOST`` siblings none is rare, from one more on those below
+``RARE`` of their parent are; an empty table gives no rows; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tools import BROADCAST_ROWS, cut
+from . import tools
+from .tools import cut
 
 #: A parent with more distinct children than this turns those below RARE of it, and with like labels, into a wildcard.
 MOST, RARE = 32, 0.02
@@ -91,8 +97,8 @@ def divergence(a: dict[str, int], b: dict[str, int]) -> float:
     for key in a.keys() | b.keys():
         p, q = a.get(key, 0) / x, b.get(key, 0) / y
         m = (p + q) / 2
-        out += (p * np.log2(p / m) if p else 0) / 2 + (q * np.log2(q / m) if q else 0) / 2
-    return float(out)
+        out += (p * math.log2(p / m) if p else 0) / 2 + (q * math.log2(q / m) if q else 0) / 2
+    return out
 
 
 def generalise(paths: list[str], counts: list[int], labels: list[int] | None = None, bad: list[float] | None = None) -> dict[str, str]:
@@ -151,7 +157,9 @@ def generalise(paths: list[str], counts: list[int], labels: list[int] | None = N
             if home:
                 absorb(home[1], child)
                 home[0].append(name)
-                home[2].update(home[1].shape())
+                # what both have below them adds up, so no shape is taken twice
+                for rest, n in shape.items():
+                    home[2][rest] = home[2].get(rest, 0) + n
             else:
                 merged.append(([name], child, shape))
         for names, child, _ in merged:
@@ -181,7 +189,7 @@ def templates(pages: DataFrame, bad: DataFrame) -> DataFrame:
 
     found = counted.groupBy("host").applyInPandas(build, "host string, path string, template string, labelled long, purity double, reject boolean")
     found = cut(found)
-    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS // 10 else found
+    side = F.broadcast(found) if found.count() <= tools.BROADCAST_ROWS // 10 else found
     return rows.select("page_id", "host", "path").join(side, ["host", "path"]).select("page_id", "host", "template", "labelled", "purity", "reject")
 
 
