@@ -10,8 +10,11 @@ its ``neighbours`` nearest are averaged with weights ``max(cosine, 0) ** power``
 Defined cases: a null or empty text, like any text all but outside the latent
 space, has no direction and gets the share of good labels; without usable labels every score
 is null and every document is kept; a labelled document whose label or text is
-null is not used; several labels of one document are averaged; equal cosines
-(to a millionth) are ordered by doc_id.
+null is not used; several labels of one document are averaged; of several texts
+under one labelled doc_id the one whose hash is least is fitted on; equal cosines
+(to a millionth) are ordered by doc_id; texts of any length are read whole; repeated
+rows and null doc_ids are scored each; an empty table gives no rows; other columns,
+whatever their names, are kept by ``keep_good`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -111,16 +114,18 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
     # the sample is drawn from the narrow labels, so that only its texts are moved
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(sample), "doc_id")
 
     def work(raw: np.ndarray, at: np.ndarray, batch: pa.RecordBatch) -> dict:
         x = terms(raw, at)
         row, slot = np.nonzero(x)
         count = np.bincount(row, minlength=len(x))
         offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "slots": pa.ListArray.from_arrays(offsets, pa.array(slot.astype(np.int16))), "counts": pa.ListArray.from_arrays(offsets, pa.array(x[row, slot]))}
+        return {"doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "label": batch.column("label"), "slots": pa.ListArray.from_arrays(offsets, pa.array(slot.astype(np.int16))), "counts": pa.ListArray.from_arrays(offsets, pa.array(x[row, slot]))}
 
-    got = over_text(texts, "doc_id long, label double, slots array<short>, counts array<float>", work, also=("doc_id", "label")).toArrow()
+    rows = over_text(texts, "doc_id long, hash long, label double, slots array<short>, counts array<float>", work, also=("doc_id", "hash", "label"))
+    # a repeated document counts once, so no more rows come back than are sampled
+    got = rows.groupBy("doc_id").agg(F.min_by(F.struct("label", "slots", "counts"), "hash").alias("one")).select("doc_id", "one.*").toArrow()
     if got.num_rows == 0:
         return None
     ids = got["doc_id"].to_numpy()
@@ -130,8 +135,6 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     x = np.zeros((len(ids), SHAPE_DIMS + WORD_DIMS), dtype=np.float32)
     x[np.repeat(np.arange(len(ids)), lengths), slots.flatten().to_numpy().astype(np.int64)] = counts.flatten().to_numpy()
     x, label = x[order], got["label"].to_numpy()[order].astype(np.float32)
-    _, first = np.unique(ids[order], return_index=True)  # a repeated document counts once
-    x, label = x[first][:max_labelled], label[first][:max_labelled]
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     x = weigh(x, idf)
     basis = decompose(x, rank)

@@ -7,8 +7,12 @@ L1 leave a short list of weights, which is broadcast to score every document.
 
 Defined cases: a null or empty text has no features and scores by the bias
 alone; a label that is null, or of a document without text, is not used;
-several labels of one document count as toxic if any does; without labels every
-score is null and every document is kept; equal documents get equal scores.
+several labels of one document count as toxic if any does; of several texts under
+one labelled doc_id the one whose hash is least is fitted on; without labels every
+score is null and every document is kept; equal documents get equal scores; texts of
+any length are read whole; repeated rows and null doc_ids are scored each; an empty
+table gives no rows; other columns, whatever their names, are kept by ``keep_clean``
+and not read otherwise.
 """
 
 from __future__ import annotations
@@ -78,27 +82,28 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     # the sample is drawn from the narrow labels, so that only its texts are moved
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(sample), "doc_id")
 
     def featurise(raw: np.ndarray, at: np.ndarray, batch: pa.RecordBatch) -> dict:
         x, owner = distinct(*slots(raw, at))
         offsets = np.searchsorted(owner, np.arange(len(at)))
-        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x.astype(np.int32)))}
+        return {"doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "label": batch.column("label"), "x": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x.astype(np.int32)))}
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = {}
         for batch in batches:
             lists = batch.column("x")
             values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for i, (doc, label) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), strict=True)):
-                rows[doc] = (values[offsets[i] : offsets[i + 1]].copy(), label)
+            for i, (doc, hash, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "hash", "label")), strict=True)):
+                if doc not in rows or hash < rows[doc][0]:
+                    rows[doc] = (hash, values[offsets[i] : offsets[i + 1]].copy(), label)
         if rows:
             ids = np.array(sorted(rows), dtype=np.int64)
             ids = ids[np.argsort(kernels.mix(ids.view(np.uint64)), kind="stable")][:max_labelled]
-            bias, used, weights = ftrl([rows[i] for i in ids.tolist()])
+            bias, used, weights = ftrl([rows[i][1:] for i in ids.tolist()])
             yield pa.RecordBatch.from_pydict({"slot": np.concatenate([[-1], used]), "weight": np.concatenate([[bias], weights])})
 
-    rows = over_text(texts, "doc_id long, label int, x array<int>", featurise, also=("doc_id", "label"))
+    rows = over_text(texts, "doc_id long, hash long, label int, x array<int>", featurise, also=("doc_id", "hash", "label"))
     got = rows.repartition(1).mapInArrow(train, "slot long, weight double").toArrow()
     if got.num_rows == 0:
         return None

@@ -84,3 +84,18 @@ def test_ftrl_is_sparse():
     examples = [(np.unique(np.concatenate([rng.integers(100, 4000, 30), [7] if y else [8]])), int(y)) for y in rng.random(400) < 0.3]
     bias, used, weight = toxicity.ftrl(examples)
     assert 7 in used and len(used) < 60 and weight[list(used).index(7)] == weight.max()
+
+
+@pytest.mark.parametrize("module", (quality, toxicity))
+def test_repeated_ids_fit_alike_in_any_order(documents, spark, module):
+    """Of several texts under one labelled id the same one is fitted on."""
+    texts = [*(f"the plain text number {i} goes on, quietly." for i in range(8)), *(f"BUY!! NOW!! {i}!! ### $$$" for i in range(8))]
+    ids = [1, 2, 3, 4, 1, 2, 3, None, 1, 2, 5, 6, 7, 8, 9, None]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(1, 10)], "doc_id long, quality int, toxic int")
+    turn = list(range(len(texts)))
+    out = []
+    for order in (turn, turn[::-1]):
+        got = module.classify(documents([texts[k] for k in order], [ids[k] for k in order]).coalesce(1), labels)
+        flag = got.columns[2]
+        out.append(sorted((str(r["doc_id"]), round(r["score"], 6), r[flag]) for r in got.collect()))
+    assert out[0] == out[1]
