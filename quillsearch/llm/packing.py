@@ -12,7 +12,9 @@ holds a whole bucket.
 Defined cases: null, empty and blank texts have length 0 and are packed too; a
 text longer than the budget is a batch of its own; with fewer distinct lengths
 than buckets each length is a bucket; equal padding is settled toward the
-smaller bounds; repeated rows are packed each; null doc_ids rank last.
+smaller bounds; repeated rows are packed each; null doc_ids rank last; an empty
+table gives no rows; other columns, whatever their names, are not read.  Text without
+blanks counts as one, whatever its size.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tools import BROADCAST_ROWS, cut
+from . import tools
+from .tools import cut
 
 BUCKETS = 8
 TOKEN_BUDGET = 16384
@@ -78,7 +81,7 @@ def pack(documents: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGE
         bucket = F.when(F.col("n_tokens") <= bound, F.lit(bound)).otherwise(bucket)
     before = Window.partitionBy("bucket").orderBy("n_tokens", "shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("bucket", bucket.cast("long")).select("n_tokens", "shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    if len(histogram) * SHARDS <= BROADCAST_ROWS:
+    if len(histogram) * SHARDS <= tools.BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     rank = F.row_number().over(Window.partitionBy("n_tokens", "shard").orderBy(F.col("doc_id").asc_nulls_last()))
     ranked = rows.withColumn("rank", rank).join(offsets, ["n_tokens", "shard"])

@@ -15,10 +15,16 @@ nearest anchor has both.  That search is exact, and each pair is accepted at
 that one anchor alone.  Equal fingerprints are one node, so copies cost nothing,
 and a bucket passes on only a spanning forest of its accepted pairs.
 
+The bigrams are a second filter on the pairs found: copies with many words changed
+may pass the first test and fail here (the README has recall by similarity).
+
 Defined cases: a null text is a group of its own; texts without words (empty,
 punctuation) group only when equal; a one-word text uses the word for bigrams
-too; a group is named by its least doc_id and that document is kept (of equal
-rows in the group, one, so each group keeps exactly one); a null doc_id sorts last.
+too; texts of any length are read whole and no weight is capped; a group is named
+by its least doc_id (nulls last) and keeps exactly one row, the first of that id;
+groups without ids have a null group_id, and groups that share their least doc_id
+share its name, but each keeps its row; repeated rows are copies; an empty table
+gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +34,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, tools
 from .tools import cut, over_text, parts, text_key
 
 #: Reach of the replication beyond the covering radius.
@@ -42,17 +48,26 @@ THRESHOLD = 3
 #: came below 43, and of copies with a tenth of their words changed within 6 bits 99 % stay.
 CHECK_BITS, BOTH_BITS = 22, 38
 BLOCK, RADIUS = 23, 3
+#: A cell of the anchor space, one task's work, is for so many nodes (some 1.5 million replicas, under 100 MB).
+CELL_NODES = 5000
 _LANES = np.uint64(0x0101010101010101)
 
 
 def simhash(hashes: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit SimHash per owner; weights are whole numbers up to 15.
+    """A 64-bit SimHash per owner; weights are whole numbers from 1.
 
-    Bits are counted eight at a time in the bytes of a word: sixteen features
-    can't overflow a byte, so only every sixteenth row is widened."""
+    Bits are counted eight at a time in the bytes of a word: sixteen features of
+    weights up to 15 can't overflow a byte, so only every sixteenth row is widened.
+    A greater weight is several rows."""
     out = np.zeros(n, dtype=np.uint64)
     if len(hashes) == 0:
         return out
+    if int(weight.max()) > 15:
+        times = -(-weight.astype(np.int64) // 15)
+        last = np.cumsum(times) - 1
+        rest = (weight - np.uint64(15) * (times - 1).astype(np.uint64)).astype(np.uint64)
+        hashes, owner, weight = np.repeat(hashes, times), np.repeat(owner, times), np.full(int(times.sum()), 15, dtype=np.uint64)
+        weight[last] = rest
     begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     within = np.arange(len(owner)) - np.repeat(begin, np.diff(np.append(begin, len(owner))))
     piece = np.flatnonzero(within % 16 == 0)
@@ -92,7 +107,7 @@ def signatures(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     _, index, count = np.unique(h ^ salt, return_index=True, return_counts=True)
     order = np.argsort(index)
     index, count = index[order], count[order]
-    weight = np.minimum(1 + np.floor(np.log2(count)), 15).astype(np.uint64)
+    weight = (1 + np.floor(np.log2(count))).astype(np.uint64)
     words = simhash(h[index], owner[index], weight, n)
     lead = np.concatenate([[np.uint64(1)], h[:-1]]) if len(h) else h
     lead[first[:-1][np.diff(first) > 0]] = np.uint64(1)
@@ -237,11 +252,12 @@ def near_edges(nodes: DataFrame) -> DataFrame:
 
     Replicas travel as packed blocks, one per target cell of the anchor space,
     not as single rows."""
-    cells = parts(nodes.sparkSession)
+    cells = max(parts(nodes.sparkSession), -(-nodes.count() // CELL_NODES))
     # cells follow the first block's anchor, of which a fingerprint has few; where
     # there are many cells the second block's divides them further
-    fine = max(1, cells // 1024)
-    coarse = cells // fine
+    fine = -(-cells // 4096) if cells > 2048 else 1
+    coarse = 4096 if cells > 2048 else cells
+    cells = coarse * fine
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -250,7 +266,9 @@ def near_edges(nodes: DataFrame) -> DataFrame:
                 fp, check, more = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "chk", "more"))
                 who, anchor = anchors(fp)
                 info = compact(anchor)
-                cell = (kernels.mix(info & np.uint32(0xFFF)) % np.uint64(coarse)) * np.uint64(fine) + kernels.mix(info >> np.uint32(12)) % np.uint64(fine)
+                lead = info & np.uint32(0xFFF)
+                lead = lead.astype(np.uint64) if coarse == 4096 else kernels.mix(lead) % np.uint64(coarse)
+                cell = lead * np.uint64(fine) + kernels.mix(info >> np.uint32(12)) % np.uint64(fine)
                 order = np.lexsort((who, cell))
                 who, info, cell = who[order], info[order], cell[order].astype(np.int32)
                 three = np.ascontiguousarray(info.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
@@ -309,35 +327,59 @@ def components(edges: DataFrame) -> DataFrame:
     """Columns node, root: the least node of each connected component.
 
     Alternating large-star and small-star rounds, each checkpointed, until the
-    stars stand still; no vertex ever collects more than its own neighbours."""
+    stars stand still.  A hub's least neighbour is aggregated before the edges meet
+    it, so no task has to hold a star and a skewed join may be split."""
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     edges = cut(edges.where("a <> b").distinct())
+    old = state(edges)
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        own = Window.partitionBy("a")
-        large = both.withColumn("m", F.least(F.min("b").over(own), F.col("a"))).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # small star: from each vertex to its lesser neighbours
         down = large.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-        least = F.min("u").over(Window.partitionBy("v"))
-        small = down.withColumn("m", least)
-        small = small.select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
-        now = cut(small)
-        same = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        old = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if same == old:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        edges = now
+        lowest = down.groupBy("v").agg(F.min("u").alias("m"))
+        small = down.join(lowest, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
+        edges = cut(small)
+        now = state(edges)
+        if now == old:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        old = now
+
+
+def first_rows(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Columns node, first: the first row of each node's group, as a struct (none, doc_id,
+    node, row), for nodes that have several rows or are in a component; the others are alone.
+
+    ``nodes`` has node, first, n; it is marked for broadcast if it is small."""
+    every = roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("node"), "root"))
+    linked = cut(nodes.select("node", "first", "n").join(every, "node", "left").where("n > 1 OR root IS NOT NULL"))
+    whole = linked.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("first"))
+    members = linked.where("root IS NOT NULL").select("node", "root").join(whole, "root").select("node", "first")
+    return tools.checked_broadcast(members.unionByName(linked.where("root IS NULL").select("node", "first")), 4)
+
+
+def first_of() -> Column:
+    """The first row of a node: by doc_id, nulls last; rows of one id by their place."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "row")).alias("first")
 
 
 def marked(documents: DataFrame, keyed: bool = False) -> DataFrame:
-    """Narrow rows (doc_id, fp, chk, more, node, missing) with the fingerprints of each text; text_key if keyed."""
+    """Narrow rows (doc_id, fp, chk, more, node) with the fingerprints of each text; text_key if keyed.
+
+    A null text has no node."""
     also = ("doc_id", "text_key") if keyed else ("doc_id",)
     key = [text_key(F.col("text")).alias("text_key")] if keyed else []
 
     def work(raw: np.ndarray, at: np.ndarray, batch: pa.RecordBatch) -> dict:
         fp, check, more = signatures(raw, at)
-        return {c: batch.column(c) for c in also} | {"fp": fp.view(np.int64), "chk": check.view(np.int64), "more": more.view(np.int64), "node": name(fp, check, more), "missing": batch.column("text").is_null()}
+        node = pa.array(name(fp, check, more), mask=np.asarray(batch.column("text").is_null()))
+        return {c: batch.column(c) for c in also} | {"fp": fp.view(np.int64), "chk": check.view(np.int64), "more": more.view(np.int64), "node": node}
 
-    schema = f"doc_id long, {'text_key binary, ' if keyed else ''}fp long, chk long, more long, node long, missing boolean"
+    schema = f"doc_id long, {'text_key binary, ' if keyed else ''}fp long, chk long, more long, node long"
     return over_text(documents.select("doc_id", "text", *key), schema, work, also=also)
 
 
@@ -346,16 +388,10 @@ def groups(documents: DataFrame, keyed: bool = True) -> DataFrame:
 
     If keyed, text_key too, by which ``tools.keep_rows`` finds the rows again."""
     also = ["text_key"] if keyed else []
-    rows = cut(marked(documents, keyed))
-    known = rows.where(~F.col("missing"))
-    nodes = cut(known.groupBy("node", "fp", "chk", "more").agg(F.min("doc_id").alias("least")))
-    roots = components(near_edges(nodes))
-    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = labelled.withColumn("group_id", F.min("least").over(Window.partitionBy("root")))
-    named = known.join(labelled.select("node", "root", "group_id").distinct(), "node", "left")
-    lone = rows.where("missing").select("doc_id", F.col("doc_id").alias("group_id"), *also)
-    # the rows of a component's least id are its candidates; ids may be null or repeated in
-    # other components, so they are ranked inside their own
-    first = F.row_number().over(Window.partitionBy("root", "doc_id").orderBy("node", *also)) == 1
-    keep = F.col("doc_id").eqNullSafe(F.col("group_id")) & first
-    return named.select("doc_id", "group_id", keep.alias("keep"), *also).unionByName(lone.withColumn("keep", F.lit(True)))
+    # the row numbers are written with the rows, so they stay what they are
+    rows = cut(marked(documents, keyed).withColumn("row", F.monotonically_increasing_id()))
+    nodes = cut(rows.where(F.col("node").isNotNull()).groupBy("node", "fp", "chk", "more").agg(first_of(), F.count("*").alias("n")))
+    named = rows.join(first_rows(nodes, components(near_edges(nodes))), "node", "left")
+    group_id = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    keep = F.col("first").isNull() | (F.col("row") == F.col("first.row"))
+    return named.select("doc_id", group_id.alias("group_id"), keep.alias("keep"), *also)

@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,14 +15,32 @@ from pyspark.sql import types as T
 from . import kernels
 
 
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: the session's ``spark.checkpoint.dir``.
+
+    Only a session in one process (tests) may leave it unset and gets a temporary one."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="shared-"))
+    return _own[0]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+    """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests) a temporary one is taken.  The files outlive executors."""
+    The files outlive executors; ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    lets Spark remove those that are no longer used."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -63,10 +82,41 @@ def over_text(df: DataFrame, schema: T.StructType | str, work: Callable[[np.ndar
 BROADCAST_ROWS = 1_000_000
 
 
-def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Cut df, count it, and mark it for broadcast only if it is small."""
+def checked_broadcast(df: DataFrame, share: int = 1) -> DataFrame:
+    """Cut df, count it, and mark it for broadcast only if it is small.
+
+    ``share`` divides the bound where rows are wider."""
     done = cut(df)
-    return F.broadcast(done) if done.count() <= BROADCAST_ROWS else done
+    return F.broadcast(done) if done.count() <= BROADCAST_ROWS // share else done
+
+
+#: Most bits of a key filter (16 MB); with more keys than a tenth of it, it lets more pass.
+FILTER_BITS = 1 << 27
+
+
+def key_filter(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A Bloom filter (two places a key) of the n values of the long column ``hash``.
+
+    It is made in tasks; at most FILTER_BITS come to the driver and go out again.  The
+    returned function tells of a column of hashes whether each may be among them."""
+    bits = min(FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
+    mask = bits - 1
+    place = F.explode(F.array(F.col("hash").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(mask))))
+    words = hashes.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    got = words.toArrow()
+    table = np.zeros(bits >> 6, dtype=np.uint64)
+    table[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    shared = hashes.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(hash: pd.Series) -> pd.Series:
+        h = hash.to_numpy(dtype=np.int64).view(np.uint64)
+        out = np.ones(len(h), dtype=bool)
+        for at in (h & np.uint64(mask), (h >> np.uint64(32)) & np.uint64(mask)):
+            out &= (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(out)
+
+    return maybe
 
 
 def text_key(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Plain versions of the operators, for small tables."""
 
 import math
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,57 @@ def roots(n, edges):
     return [find(v) for v in range(n)]
 
 
+M64 = (1 << 64) - 1
+
+
+def mix(x):
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ x >> shift) * times & M64
+    return x
+
+
+def run_hash(run, fold):
+    """The hash of a byte run, byte by byte."""
+    total = 0
+    for k, b in enumerate(run):
+        factor = int(kernels._POWERS[k % 4096]) * (mix(k >> 12) | 1)
+        total += ((b + 32 if fold and 65 <= b <= 90 else b) + 1) * factor
+    return mix((total & M64) ^ len(run))
+
+
+def bits_of(features):
+    """The signs of weighted sums of bits, one at a time."""
+    return sum(1 << b for b in range(64) if sum(w if h >> b & 1 else -w for h, w in features) > 0)
+
+
+def fingerprint(text):
+    """A text's word SimHash and both bigram SimHashes, in plain Python."""
+    raw = (text or "").encode()
+    found = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+    if not found:
+        lone = mix((run_hash(raw, False) if raw else 0) + 0xABCDEF & M64)
+        check = mix(lone)
+        return lone & (1 << 46) - 1, check, mix(check)
+    known = {}
+    h = [known.setdefault(w, None) or known.update({w: run_hash(w, True)}) or known[w] for w in found]
+    count = Counter(h)
+    words = bits_of([(x, int(math.log2(c)) + 1) for x, c in count.items()])
+    pairs = [mix(a * 0x9E3779B97F4A7C15 + b & M64) for a, b in zip([1, *h], h)]
+    return words & (1 << 46) - 1, bits_of([(p, 1) for p in pairs]), bits_of([(mix(p ^ 0x5BD1E995), 1) for p in pairs])
+
+
 def near_groups(rows):
     """rows (id, text): the least id of each group, comparing all pairs bit by bit."""
-    raw, at = split([t for _, t in rows])
-    fp, check = (x.tolist() for x in simhash.fingerprints(raw, at))
+    fp, check, more = (x.tolist() for x in simhash.signatures(*split([t for _, t in rows])))
+
+    def far(values, i, j):
+        return (values[i] ^ values[j]).bit_count()
+
     edges = [
         (i, j)
         for i in range(len(rows))
         for j in range(i)
-        if rows[i][1] is not None and rows[j][1] is not None and bin(fp[i] ^ fp[j]).count("1") <= 6 and bin(check[i] ^ check[j]).count("1") <= simhash.CHECK_BITS
+        if rows[i][1] is not None and rows[j][1] is not None and far(fp, i, j) <= 6 and far(check, i, j) <= simhash.CHECK_BITS and far(check, i, j) + far(more, i, j) <= simhash.BOTH_BITS
     ]
     member = defaultdict(list)
     for k, r in enumerate(roots(len(rows), edges)):

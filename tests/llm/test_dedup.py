@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,58 @@ def test_exact_beyond_broadcast(documents, monkeypatch):
     test_exact(documents)
 
 
+SWAPPED = ["!" * 4096 + "?" * 4096, "?" * 4096 + "!" * 4096, "a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096]
+
+
+@pytest.mark.parametrize("op", (exact, simhash, phrases))
+def test_blocks_that_change_places(documents, op):
+    assert dict(op.groups(documents(SWAPPED)).select("doc_id", "group_id").collect()) == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def shuffled_texts(df):
+    """Exchanges of the plan that move a column named text."""
+    tree = df._jdf.queryExecution().executedPlan().toString()
+    out, lines = [], tree.split("\n")
+    for k, line in enumerate(lines):
+        if re.search(r"\bExchange\b", line) and "BroadcastExchange" not in line:
+            below = next((x for x in lines[k + 1 :] if "Project" in x or "Scan" in x), "")
+            out += [below] if re.search(r"\btext#", below.split("Batched")[0]) else []
+    return out
+
+
+@pytest.mark.parametrize("most", (tools.BROADCAST_ROWS, 0))
+@pytest.mark.parametrize("op", (exact, simhash, phrases))
+def test_texts_are_not_shuffled(spark, monkeypatch, op, most):
+    """Whatever the number of keys; every checkpointed part is seen as it is made."""
+    monkeypatch.setattr(tools, "BROADCAST_ROWS", most)
+    seen, plain = [], tools.cut
+    for module in (tools, exact, simhash, phrases):
+        monkeypatch.setattr(module, "cut", lambda df: (seen.append(df), plain(df))[1])
+    seen.append(op.groups(spark.read.parquet(f"{SF}/documents.parquet")))
+    assert len(seen) > 3 and not [x for df in seen for x in shuffled_texts(df)]
+
+
+@pytest.mark.parametrize("n", (1, 300, 5000))
+def test_key_filter(spark, n, monkeypatch):
+    """No key is lost, and few others pass until the filter is full."""
+    frame = spark.range(n).select(F.xxhash64("id").alias("hash"))
+    other = spark.range(10**6, 10**6 + 4000).select(F.xxhash64("id").alias("hash"))
+    for bits in (tools.FILTER_BITS, 1 << 16):
+        monkeypatch.setattr(tools, "FILTER_BITS", bits)
+        maybe = tools.key_filter(frame, n)
+        assert frame.where(maybe(F.col("hash"))).count() == n
+        assert other.where(maybe(F.col("hash"))).count() < (400 if bits > 1 << 16 or n < 5000 else 1000)
+
+
+@pytest.mark.parametrize("op", (exact, simhash, phrases))
+def test_ids_that_clash(documents, op):
+    """Groups that share their least id, or have none, share its name; empty texts are copies."""
+    one, two, three = ("red fox runs over hills", "quiet rivers carry cold stones", "seven old clocks strike noon")
+    rows = op.groups(documents([one, two, three, None, "", "", one], [5, 5, None, None, 8, 9, 3], extra=CLASH)).select("doc_id", "group_id").collect()
+    assert sorted(tuple(r) for r in rows if r[0] is not None) == [(3, 3), (5, 3), (5, 5), (8, 8), (9, 8)]
+    assert [r[1] for r in rows if r[0] is None] == [None, None]
+
+
 def test_keep_rows(documents):
     d = documents(["x", "x", "y", "x", None], [1, 1, 2, 3, None], extra=CLASH)
     left = tools.keep_rows(d, exact.groups(d))
@@ -80,12 +134,19 @@ def test_pairs_meet_once():
         assert all((i, int(home[i])) in have for i in range(500))
 
 
+def test_fingerprints_by_plain_python():
+    texts = [*ODD[:-4], "a b c d e f g h", "A B C D E F G H", "x " * 20, "word " * 40_000 + "other", *SWAPPED]
+    fp, check, more = simhash.signatures(*brute.split(texts))
+    for i, t in enumerate(texts):
+        assert (int(fp[i]), int(check[i]), int(more[i])) == brute.fingerprint(t), repr(t)[:60]
+
+
 def test_simhash_bits():
     """The lanes count as a plain sum of signed bits does."""
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 400).astype(np.uint64)
     owner = np.sort(rng.integers(0, 5, 400))
-    w = rng.integers(1, 16, 400).astype(np.uint64)
+    w = rng.integers(1, 40, 400).astype(np.uint64)
     got = simhash.simhash(h, owner, w, 6)
     for k in range(6):
         bits = ((h[owner == k][:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(int) * 2 - 1
@@ -226,6 +287,47 @@ def test_phrase_recall_on_documents(spark):
     assert phrases.groups(d.where(F.lit(False))).count() == 0
 
 
+def test_phrase_groups_by_signatures(spark):
+    """The groups are those of all pairs that share a band and are alike, compared one by one."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = phrases.fingerprints(d).collect()
+    sign = np.array([np.frombuffer(r["signature"], np.uint8) for r in rows])
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if set(zip(range(phrases.BANDS), rows[i]["bands"])) & set(zip(range(phrases.BANDS), rows[j]["bands"])) and phrases.similarity(sign[i], sign[j]) >= phrases.THRESHOLD]
+    root = brute.roots(len(rows), edges)
+    least = {r: min(rows[k]["doc_id"] for k in range(len(rows)) if root[k] == r) for r in set(root)}
+    assert dict(phrases.groups(d).select("doc_id", "group_id").collect()) == {r["doc_id"]: least[root[k]] for k, r in enumerate(rows)}
+
+
+def test_minimum_hashes_by_plain_python():
+    texts = ["a b a b a c", "red fox runs " * 9, "x"]
+    hashes, at = phrases.parse(*brute.split(texts))
+    got = phrases.signatures(hashes, at)
+    for i in range(len(texts)):
+        mine = hashes[at[i] : at[i + 1]].tolist()
+        assert got[i].tolist() == [min((h * int(phrases._MULTIPLY[k]) + int(phrases._ADD[k])) % 2**64 for h in mine) for k in range(phrases.HASHES)]
+
+
+@pytest.mark.parametrize("crowd", (1, 2, 3, 7, 4096))
+def test_crowded_bands(spark, crowd):
+    """Bands compared block by block connect what they connect whole."""
+    rng = np.random.default_rng(6)
+    kinds = rng.integers(0, 256, (4, 64)).astype(np.uint8)
+    rows = [(i, bytearray(kinds[i % 4].tobytes()), [7, 8 + i % 2, 100 + i]) for i in range(40)]
+    got = phrases.alike(spark.createDataFrame(rows, "node long, signature binary, bands array<long>"), crowd=crowd)
+    assert brute.roots(40, [tuple(r) for r in got.collect()]) == [i % 4 for i in range(40)]
+
+
+def test_blocked_has_all_pairs():
+    band = np.repeat(np.array([3, 5, 9], dtype=np.int64), [2, 11, 5])
+    node = np.arange(18, dtype=np.int64)
+    seen = set()
+    for key, member, side in phrases.blocked(band, node, 4):
+        assert len(key) == len(member) == len(side)
+        seen |= {(k, int(m), int(s)) for k, m, s in zip(key.tolist(), member, side)}
+    pairs = {(a, b) for k, a, s in seen for l, b, t in seen if k == l and a < b and (s != t or len({u for m, _, u in seen if m == k}) == 1)}
+    assert pairs == {(a, b) for a in range(18) for b in range(a + 1, 18) if band[a] == band[b]}
+
+
 def test_forest():
     key = np.array([1, 1, 1, 1, 2, 3, 3])
     a, b = phrases.forest(key, lambda i, j: np.abs(i - j) != 2)
