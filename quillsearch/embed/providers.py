@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 BATCH = 64
@@ -58,7 +60,9 @@ class Local:
         if model is None:
             from .model import Model
 
-            model = _models[self.path, self.cache] = Model(self.path, self.cache)
+            # on a worker the file came with the job
+            path = self.path if os.path.exists(self.path) else SparkFiles.get(os.path.basename(self.path))
+            model = _models[self.path, self.cache] = Model(path, self.cache)
         return [model.embed(t).tolist() for t in texts]
 
 

@@ -11,29 +11,43 @@ from ..functions.text import tokens
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows in at least a partition per core: a small table is often one file, which
-    one task would tokenise.  Tables with partitions enough are left alone."""
+    """Rows of few files in a partition per core: a small table is often one file, which
+    one task would tokenise.  Tables of files enough are left alone."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    few = rows._jdf.queryExecution().toRdd().getNumPartitions() < cores
-    return rows.repartition(cores) if few else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
-def tokenised(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """doc_id and one token array per column (c0, c1, …); no shuffle."""
-    return spread(rows.select(key, *dict.fromkeys(c for c in columns if c != key))).select(F.col(key).alias("doc_id"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+def tokenised(rows: DataFrame, key: str, columns: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, one token array per column (c0, c1, …), and columns as they are; no shuffle."""
+    every = dict.fromkeys(c for c in (*columns, *also) if c != key)
+    return spread(rows.select(key, *every)).select(F.col(key).alias("doc_id"), *[tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)], *also)
+
+
+def placed(i: int):
+    """A column's tokens as structs (col, pos, term)."""
+    return F.transform(f"c{i}", lambda t, p: F.struct(F.lit(i).cast("tinyint").alias("col"), p.alias("pos"), t.alias("term")))
+
+
+def stored(rows: DataFrame, key: str, columns: Sequence[str], owned: str) -> DataFrame:
+    """Postings as an engine keeps them: doc_id, len, owned, col, pos, term.
+
+    All is from one pass: each posting has its row's length, and each row one posting
+    of the empty term, from which the corpus is counted."""
+    base = tokenised(rows, key, columns, [owned])
+    total = sum((F.size(f"c{i}") for i in range(1, len(columns))), F.size("c0"))
+    whole = F.array(F.struct(F.lit(0).cast("tinyint").alias("col"), F.lit(-1).alias("pos"), F.lit("").alias("term")))
+    return base.select("doc_id", total.alias("len"), F.col(owned).alias("owned"), F.inline(F.concat(whole, *[placed(i) for i in range(len(columns))])))
+
+
+def stored_corpus(post: DataFrame) -> DataFrame:
+    """n_docs, n_tokens of stored postings."""
+    return corpus(post.where("term = ''").select("len"))
 
 
 def postings(rows: DataFrame, key: str, columns: Sequence[str], terms: Sequence[str] | None = None) -> DataFrame:
     """doc_id, col, pos, term; with ``terms`` others are dropped before rows multiply."""
     base = tokenised(rows, key, columns)
-
-    def placing(i: int):
-        return lambda t, p: F.struct(F.lit(i).cast("tinyint").alias("col"), p.alias("pos"), t.alias("term"))
-
-    hits = []
-    for i in range(len(columns)):
-        placed = F.transform(f"c{i}", placing(i))
-        hits.append(placed if terms is None else F.filter(placed, lambda x: x["term"].isin(list(terms))))
+    hits = [placed(i) if terms is None else F.filter(placed(i), lambda x: x["term"].isin(list(terms))) for i in range(len(columns))]
     every = F.concat(*hits) if len(hits) > 1 else hits[0]
     return base.select("doc_id", F.inline(every))
 

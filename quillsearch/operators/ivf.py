@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ CELL = 2500
 ROUNDS = 10
 #: At least so many cells' worth of vectors are probed.
 FLOOR_CELLS = 50
+#: Folders that the cells of a stored layout are spread over.
+BUCKETS = 256
 #: Largest matrix of centroids that is broadcast.
 MOST_BYTES = 1 << 30
 
@@ -31,9 +34,13 @@ def truncated(vectors: DataFrame, size: int) -> DataFrame:
 def numbered(vectors: DataFrame) -> DataFrame:
     """Rows with ``row``, their 0-based place by id, without a single-task sort.
 
-    Ranges of ids are sorted apart and offset by the counts before them.  They are
-    kept, because ranges sampled a second time could differ."""
-    spread = vectors.repartitionByRange(F.col("id")).sortWithinPartitions("id").withColumn("part", F.spark_partition_id()).persist()
+    Ids are cut into ranges of equal width, told by the id alone, so that they are the
+    same whenever they are computed; a range's rows are ranked and follow the counts
+    of the ranges before."""
+    parts = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edge = vectors.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    low, width = edge["low"] or 0, max(1, -(-((edge["high"] or 0) - (edge["low"] or 0) + 1) // parts))
+    spread = vectors.withColumn("part", F.floor((F.col("id") - low) / width).cast("long"))
     counts = spread.groupBy("part").count()
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("id")).cast("long")
@@ -76,7 +83,9 @@ def kmeans(vectors: DataFrame, cell: int = CELL, rounds: int = ROUNDS) -> tuple[
     # row numbers repeat when there are fewer rows than places
     seeds = [i * n // k for i in range(k)]
     spare = [7 * i % n for i in range(k)]
-    picked = {r["row"]: np.array(r["embedding"], dtype=np.float64) for r in rows.where(F.col("row").isin(sorted({*seeds, *spare}))).select("row", "embedding").toLocalIterator()}
+    wanted = vectors.sparkSession.createDataFrame(pd.DataFrame({"row": sorted({*seeds, *spare})}), "row long")
+    picked = {r["row"]: np.array(r["embedding"], dtype=np.float64) for r in rows.join(F.broadcast(wanted), "row", "left_semi").select("row", "embedding").toLocalIterator()}
+    # centroids are what is broadcast anyway, so their row numbers are fewer still
     centroids = np.stack([picked[s] for s in seeds])
     sc = vectors.sparkSession.sparkContext
     for turn in range(rounds):
@@ -107,7 +116,13 @@ def kmeans(vectors: DataFrame, cell: int = CELL, rounds: int = ROUNDS) -> tuple[
             if i not in filled:
                 now[i] = picked[spare[i]]
         centroids = unit_rows(now)
-    return centroids, assigned(rows, last)
+    rows.unpersist()
+    return centroids, assigned(vectors, last)
+
+
+def bucket(centroid_id):
+    """The folder of a cell: cells share a bounded number of them."""
+    return F.pmod(centroid_id, F.lit(BUCKETS))
 
 
 def layout(cells: DataFrame, cell: int = CELL) -> DataFrame:
@@ -135,7 +150,9 @@ def search(ann: DataFrame, centroids: DataFrame, query, limit: int, cell: int =
     size = len(query)
     if not centroids.isEmpty():
         wanted = [r[0] for r in probes(centroids, ann.groupBy("centroid_id").count().withColumnRenamed("count", "n"), query, limit, cell, floor_cells).collect()]
-        # as literals the cells prune the partitions of a stored layout
+        # as literals the cells prune the folders and row groups of a stored layout
+        if "bucket" in ann.columns:
+            ann = ann.where(F.col("bucket").isin(sorted({c % BUCKETS for c in wanted})))
         ann = ann.where(F.col("centroid_id").isin(wanted))
     return similar(ann.select(F.col("section_id").alias("id"), F.slice("embedding", 1, size).alias("embedding")), query, limit)
 
@@ -162,10 +179,12 @@ def semantic(sections: DataFrame, articles: DataFrame, query, limit: int, vector
         hits = search(ann, centroids, short, limit if vectors is None else limit * limit, cell, floor_cells)
         if vectors is not None:
             hits = similar(vectors.join(F.broadcast(hits.select("id")), "id", "left_semi"), query, limit)
-    hits = F.broadcast(hits)
-    from .search import X
+    from .search import X, opened
 
-    rows = sections.select("id", "article_id", F.col("title").alias("heading"), "content").join(hits.select("id"), "id", "left_semi")
+    hits = F.broadcast(hits)
+    flate = ["content_flate"] if "content_flate" in sections.columns else []
+    # hits first: only their contents are inflated
+    rows = opened(sections.select("id", "article_id", "content", *flate).join(hits.select("id"), "id", "left_semi"))
     known = hits.join(rows, "id", "left").join(articles.select(F.col("id").alias("article_id"), "title"), "article_id", "left")
     hit = F.col("title").isNotNull()
     text = F.when(hit, F.coalesce("content", F.lit(""))).otherwise(F.lit(""))

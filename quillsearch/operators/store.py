@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
 from ..sources import archive
+from ..sources.folder import Folder
 from . import fusion, index, ivf, search
 
 PERSISTED = ("aiModel", "aiModelPrefixSave", "aiModelPrefixSearch", "aiAnnSize", "language")
@@ -24,9 +26,34 @@ def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFram
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
+def newest_ids(rows: DataFrame, keys: Sequence[str], id: str = "id") -> DataFrame:
+    """The keys with the greatest id of each: MAX(id) ... GROUP BY keys."""
+    return rows.groupBy(*keys).agg(F.max(id).alias(id))
+
+
+def next_id(rows: DataFrame, id: str = "id") -> int:
+    """One more than the greatest id; 1 for an empty table."""
+    return rows.agg((F.coalesce(F.max(id), F.lit(0)) + 1).alias("next")).first()["next"]
+
+
+def nonempty(rows: DataFrame, column: str) -> DataFrame:
+    """n: how many rows have something in the column."""
+    return rows.where(F.col(column).isNotNull() & (F.length(column) > 0)).agg(F.count("*").alias("n"))
+
+
+#: Ids of up to so many rows are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
 def dedup_sections(sections: DataFrame) -> DataFrame:
-    """The section of highest id for each (article_id, title)."""
-    return last_wins(sections, ["article_id", "title"], [F.desc("id")])
+    """The section of highest id for each (article_id, title).
+
+    Only ids and titles are shuffled; the ids that go are then taken out of the rows,
+    by broadcast if they are few."""
+    same = Window.partitionBy("article_id", "title").orderBy(F.desc("id"))
+    gone = sections.select("id", "article_id", "title").withColumn("_rank", F.row_number().over(same)).where("_rank > 1").select("id")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return sections.join(F.broadcast(gone) if few else gone, "id", "left_anti")
 
 
 def compressed(sections: DataFrame) -> DataFrame:
@@ -36,9 +63,7 @@ def compressed(sections: DataFrame) -> DataFrame:
     return z.withColumn("content_flate", F.when(small, F.col("_z")).otherwise(F.col("content_flate"))).withColumn("content", F.when(small, None).otherwise(F.col("content"))).drop("_z")
 
 
-def readable(sections: DataFrame) -> DataFrame:
-    """Contents inflated where they were compressed; never null."""
-    return sections.withColumn("content", F.coalesce("content", X.inflate("content_flate"), F.lit("")))
+readable = search.opened
 
 
 def embedding_text(sections: DataFrame, articles: DataFrame, prefix: str = "") -> DataFrame:
@@ -61,47 +86,82 @@ def article(articles: DataFrame, sections: DataFrame, article_id: int) -> DataFr
 
 
 class Engine:
-    """A folder of tables.  A table is a symbolic name for its newest version, which
-    is written whole before the name moves, so readers never see half of it."""
+    """A folder of tables, local or shared.
 
-    def __init__(self, spark: SparkSession, path: str, writable: bool = True, buckets: int = 64):
-        self.spark, self.path, self.writable, self.buckets = spark, path, writable, buckets
+    A manifest names the folders that each table consists of.  Tables are written
+    whole under new names and appear together with the next manifest, so readers see
+    all of a change or nothing.  There is one writer at a time: a second one that
+    commits meanwhile fails, because the manifest's number is taken."""
+
+    def __init__(self, spark: SparkSession, path: str, writable: bool = True):
+        self.spark, self.path, self.writable = spark, path.rstrip("/"), writable
+        self.folder = Folder(path)
         if writable:
-            os.makedirs(path, exist_ok=True)
+            self.folder.make()
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, writable: bool | None = None) -> Engine:
         """Read-only unless asked for or nothing is there yet."""
-        return cls(spark, path, not os.path.exists(path) if writable is None else writable)
+        return cls(spark, path, not Folder(path).exists() if writable is None else writable)
 
     # tables
-    def _current(self, name: str) -> str | None:
-        try:
-            with open(f"{self.path}/{name}.current") as f:
-                return f"{self.path}/{f.read().strip()}"
-        except FileNotFoundError:
-            return None
+    def _manifests(self) -> list[str]:
+        return [n for n in self.folder.names() if n.startswith("manifest-")]
+
+    def _manifest(self) -> tuple[int, dict]:
+        """The newest manifest's number, and its tables and marks."""
+        names = self._manifests()
+        if not names:
+            return 0, {"tables": {}, "marks": {}}
+        return int(names[-1][9:21]), json.loads(self.folder.read(names[-1]))
 
     def has(self, name: str) -> bool:
-        return self._current(name) is not None
+        return name in self._manifest()[1]["tables"]
+
+    def mark(self, name: str, default=None):
+        """A small value that was committed with the tables."""
+        return self._manifest()[1]["marks"].get(name, default)
 
     def table(self, name: str, schema=None) -> DataFrame:
-        at = self._current(name)
-        if at:
-            return self.spark.read.parquet(at)
+        parts = self._manifest()[1]["tables"].get(name)
+        if parts:
+            return self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts])
         if schema is None:
             raise LookupError(f"there is no table {name}")
         return self.spark.createDataFrame([], schema)
 
+    def commit(self, tables: dict[str, DataFrame], more: dict[str, DataFrame] | None = None, partition: str | None = None, marks: dict | None = None) -> None:
+        """Replace ``tables`` and append to ``more``, all in one step."""
+        if not self.writable:
+            raise PermissionError("the store is read-only")
+        number, now = self._manifest()
+        for name, rows in (tables | (more or {})).items():
+            version = f"{name}-{uuid.uuid4().hex}"
+            writer = rows.write.option("compression", "zstd")
+            (writer.partitionBy(partition) if partition else writer).parquet(f"{self.path}/{version}")
+            now["tables"][name] = [*(now["tables"].get(name, []) if name not in tables else []), version]
+        now["marks"] |= marks or {}
+        self.folder.put(f"manifest-{number + 1:012d}.json", json.dumps(now).encode())
+
     def write(self, name: str, rows: DataFrame, partition: str | None = None) -> None:
+        self.commit({name: rows}, partition=partition)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove what only older manifests than the last ``keep`` name; returns how many folders.
+
+        Readers of a kept manifest go on undisturbed."""
         if not self.writable:
             raise PermissionError("the store is read-only")
-        version = f"{name}-{uuid.uuid4().hex}"
-        writer = rows.write.option("compression", "zstd")
-        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.path}/{version}")
-        with open(f"{self.path}/{name}.next", "w") as f:
-            f.write(version)
-        os.replace(f"{self.path}/{name}.next", f"{self.path}/{name}.current")
+        names = self._manifests()
+        old, kept = names[:-keep], names[-keep:]
+        folders = {n: {p for parts in json.loads(self.folder.read(n))["tables"].values() for p in parts} for n in names}
+        live = set().union(*(folders[n] for n in kept)) if kept else set()
+        gone = set().union(*(folders[n] for n in old)) - live if old else set()
+        there = set(self.folder.names())
+        # manifests go last, so that an interrupted run can be taken up again
+        for name in [*sorted(gone & there), *old]:
+            self.folder.drop(name)
+        return len(gone & there)
 
     @property
     def articles(self) -> DataFrame:
@@ -124,27 +184,27 @@ class Engine:
         return bytes(row["value"])
 
     # ingest
-    def put_articles(self, pages: DataFrame) -> None:
-        """Upsert articles by id in order of arrival and append their sections.
+    def put_articles(self, pages: DataFrame, marks: dict | None = None) -> None:
+        """Upsert articles by id in order of arrival and append their sections, in one commit.
 
         ``pages`` has id, title, entity, items, archive, member, line."""
         order = [F.desc("archive"), F.desc("member"), F.desc("line")]
         newest = last_wins(pages.select("id", "title", "entity", "archive", "member", "line"), ["id"], order).select("id", "title", "entity")
         known = self.articles.join(newest.select("id"), "id", "left_anti")
-        next_id = self.table("sections", S.SECTIONS).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        last = next_id(self.table("sections", S.SECTIONS)) - 1
         flat = pages.select("id", "archive", "member", "line", F.posexplode("items").alias("place", "item"))
         # surrogate keys follow the order of arrival
-        keyed = numbered(flat, ["archive", "member"], ["line", "place"], next_id)
+        keyed = numbered(flat, ["archive", "member"], ["line", "place"], last)
         rows = keyed.select(F.col("key").alias("id"), F.col("id").alias("article_id"), "item.title", "item.content", F.lit(None).cast("binary").alias("content_flate"), "item.pow")
-        self.write("sections", self.table("sections", S.SECTIONS).unionByName(rows))
-        self.write("articles", known.unionByName(newest))
+        self.commit({"articles": known.unionByName(newest)}, {"sections": rows}, marks=marks)
 
     def ingest(self, path: str, language: str = "en") -> None:
         """Import archives: sections, settings, dedup, indexes and vocabulary."""
         if path.startswith(("http://", "https://")):
-            target = f"{self.path}/download.tar.gz"
-            archive.download(path, target)
-            path = target
+            name = f"download-{uuid.uuid4().hex}.tar.gz"
+            with self.folder.sink(name) as (out, _):
+                archive.download(path, out)
+            path = f"{self.path}/{name}"
         pages = archive.with_sections(archive.articles(archive.read_archives(self.spark, path))).persist()
         self.put_articles(pages)
         pages.unpersist()
@@ -153,21 +213,33 @@ class Engine:
         self.build_index()
 
     def optimize(self) -> None:
+        """Drop sections that newer ones replace, and what no manifest needs."""
         self.write("sections", dedup_sections(self.table("sections", S.SECTIONS)))
-
-    def build_index(self) -> None:
-        """Rebuild both indexes: running it again changes nothing.
-
-        Postings lie in files by term bucket, sorted by term, so a query reads
-        the buckets of its words and in them the row groups of its terms."""
-        for name, rows, columns in (("title", self.articles, ["title"]), ("content", self.sections, ["title", "content"])):
-            post = index.postings(rows, "id", columns).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-            self.write(f"{name}_postings", post.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id"), "bucket")
-            lens = index.lengths(rows, "id", columns)
-            self.write(f"{name}_lengths", lens)
-            self.write(f"{name}_corpus", index.corpus(self.table(f"{name}_lengths")))
+        self.vacuum()
+
+    def build_index(self, buckets: int | None = None) -> None:
+        """Rebuild both indexes in one pass over each table; again, it changes nothing.
+
+        Postings lie in files by term bucket, sorted by term, so a query reads the
+        buckets of its words and in them the row groups of its terms.  A bucket's rows
+        are shared out by document among as many tasks as there are to spare, so that a
+        common word is no task's alone.  Each posting has its row's length and whether
+        the row has an article, and a posting of the empty term stands for every row."""
+        sections = self.table("sections", S.SECTIONS)
+        count = sections.count()
+        buckets = buckets or min(4096, max(8, count // 20_000))
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        shards = max(1, tasks // buckets)
+        owners = self.articles.select(F.col("id").alias("article_id"), F.lit(True).alias("owned"))
+        owned = readable(sections).join(owners, "article_id", "left").withColumn("owned", F.col("owned").isNotNull())
+        new = {}
+        for name, rows, columns in (("title", self.articles.withColumn("owned", F.lit(True)), ["title"]), ("content", owned, ["title", "content"])):
+            post = index.stored(rows, "id", columns, "owned").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+            task = F.pmod(F.col("bucket") * shards + F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit(tasks)).cast("int")
+            new[f"{name}_postings"] = post.repartitionById(tasks, task).sortWithinPartitions("bucket", "term", "doc_id")
+        self.commit(new, partition="bucket", marks={"buckets": buckets})
         posts = [self.table(f"{n}_postings") for n in ("title", "content")]
-        self.write("vocabulary", index.vocabulary(*posts))
+        self.commit({"title_corpus": index.stored_corpus(posts[0]), "content_corpus": index.stored_corpus(posts[1]), "vocabulary": index.vocabulary(*posts).where("term <> ''")})
 
     def compress(self) -> None:
         self.write("sections", compressed(self.table("sections", S.SECTIONS)))
@@ -176,18 +248,20 @@ class Engine:
     def _index(self, name: str, rows: DataFrame, columns: list[str], query: str) -> search.Index:
         terms = sorted({t for p in X.phrases(query) for t in p})
         post = self.table(f"{name}_postings")
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct().collect()] if terms else []
+        # the buckets of the words, as xxhash64 tells them
+        signed = [xxhash.xxh64_intdigest(t.encode(), seed=42) for t in terms]
+        buckets = sorted({(h - (1 << 64) if h >> 63 else h) % self.mark("buckets") for h in signed})
         post = post.where(F.col("bucket").isin(buckets)).drop("bucket")
-        return search.Index(rows, "id", columns, (post, self.table(f"{name}_lengths"), self.table(f"{name}_corpus")))
+        return search.Index(rows, "id", columns, (post, self.table(f"{name}_corpus")))
 
     def title_index(self, query: str) -> search.Index:
         return self._index("title", self.articles, ["title"], query)
 
     def content_index(self, query: str) -> search.Index:
-        return self._index("content", self.sections, ["title", "content"], query)
+        return self._index("content", self.table("sections", S.SECTIONS), ["title", "content"], query)
 
     def search_title(self, query: str, limit: int = 10) -> DataFrame:
-        return search.plain(search.titles(self.title_index(query), self.sections, query, limit))
+        return search.plain(search.titles(self.title_index(query), self.table("sections", S.SECTIONS), query, limit))
 
     def search_content(self, query: str, limit: int = 10) -> DataFrame:
         return search.plain(search.contents(self.content_index(query), self.articles, query, limit))
@@ -204,7 +278,7 @@ class Engine:
         ann = self.table("ann") if self.has("ann") else None
         centroids = self.table("centroids") if self.has("centroids") else self.spark.createDataFrame([], S.CENTROIDS)
         size = int(self.get("aiAnnSize")) if ann is not None else 64
-        return ivf.semantic(self.sections, self.articles, vector, limit, vectors, ann, centroids, size)
+        return ivf.semantic(self.table("sections", S.SECTIONS), self.articles, vector, limit, vectors, ann, centroids, size)
 
     def search_semantic(self, vector: Sequence[float], limit: int = 10) -> DataFrame:
         return search.plain(self._semantic(vector, limit))
@@ -241,7 +315,8 @@ class Engine:
         if short.isEmpty():
             raise ValueError("there are no vectors")
         centroids, cells = ivf.kmeans(short, cell)
-        self.write("ann", ivf.layout(cells, cell), "centroid_id")
+        lists = ivf.layout(cells, cell).withColumn("bucket", ivf.bucket(F.col("centroid_id")))
+        self.commit({"ann": lists.repartition("centroid_id").sortWithinPartitions("bucket", "centroid_id", "chunk_id", "pos")}, partition="bucket")
         rows = [(i + 1, c.tolist()) for i, c in enumerate(centroids)]
         self.write("centroids", self.spark.createDataFrame(rows, S.CENTROIDS))
 

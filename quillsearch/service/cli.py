@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import shutil
 import sys
+import tempfile
 import webbrowser
 from collections.abc import Callable
 from dataclasses import fields
@@ -63,6 +65,23 @@ def wizard(ask: Callable[[str], str] = input) -> Config:
     return config
 
 
+def model_path(engine: Engine) -> str | None:
+    """Where this machine has the store's model; of a shared store a copy is made once.
+
+    Workers load the model from the same path, so on a cluster it goes to them as a file
+    of the job."""
+    folder = engine.folder
+    if not folder.exists("model.gguf"):
+        return None
+    if "://" not in engine.path:
+        return f"{engine.path}/model.gguf"
+    target = os.path.join(tempfile.mkdtemp(prefix="model-"), "model.gguf")
+    with folder.fs.open_input_stream(f"{folder.root}/model.gguf") as model, open(target, "wb") as out:
+        shutil.copyfileobj(model, out)
+    engine.spark.sparkContext.addFile(target)
+    return target
+
+
 def prepare(spark: SparkSession, config: Config) -> App:
     """Open the store and do what the flags ask for: setup, model, import, vectors, compression."""
     if config.setup:
@@ -74,7 +93,8 @@ def prepare(spark: SparkSession, config: Config) -> App:
     writes = bool(config.wiki_import or config.ai_sync or config.db_compress or config.ai_model_import)
     engine = Engine.open(spark, config.db, True if writes else None)
     if config.ai_model_import:
-        shutil.copyfile(config.ai_model_import, f"{config.db}/model.gguf")
+        with open(config.ai_model_import, "rb") as model, engine.folder.sink("model.gguf") as (out, _):
+            shutil.copyfileobj(model, out)
     if config.wiki_import:
         engine.ingest(config.wiki_import, config.language)
     for key, name, kind in (("language", "language", str), ("aiModelPrefixSearch", "ai_model_prefix_search", str), ("aiModelPrefixSave", "ai_model_prefix_save", str), ("aiModel", "ai_model", str), ("aiAnnSize", "ai_ann_size", int)):
@@ -82,10 +102,8 @@ def prepare(spark: SparkSession, config: Config) -> App:
             setattr(config, name, kind(engine.get(key).decode()))
         except KeyError:
             pass
-    import os
-
-    path = f"{config.db}/model.gguf"
-    embed = providers.provider(config.ai_api, config.ai_api_url, config.ai_model, config.ai_api_key, path if os.path.exists(path) else None, config.ai_cache)
+    path = model_path(engine)
+    embed = providers.provider(config.ai_api, config.ai_api_url, config.ai_model, config.ai_api_key, path, config.ai_cache)
     app = App(engine, config, embed)
     if config.ai_sync and embed:
         for key, value in (("aiModel", config.ai_model), ("aiModelPrefixSave", config.ai_model_prefix_save), ("aiModelPrefixSearch", config.ai_model_prefix_search)):

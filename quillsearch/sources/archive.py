@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import io
+import codecs
 import json
 import logging
+import os
 import tarfile
 import urllib.request
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,36 +21,63 @@ log = logging.getLogger(__name__)
 LINES = "archive string, member string, line long, value string"
 
 
-def members(data) -> Iterator[tuple[str, str]]:
-    """Names and texts of an archive's regular members.
+#: Characters of a member that are decoded at a time.
+CHUNK = 1 << 20
+
+
+def members(data) -> Iterator[tuple[str, Iterator[str]]]:
+    """Names of an archive's regular members, and their texts in chunks, as they come.
+
+    One that can't be read on is logged and ends there; the others follow."""
+
+    def chunks(name: str, file) -> Iterator[str]:
+        decoder = codecs.getincrementaldecoder("utf-8")()
+        try:
+            while data := file.read(CHUNK):
+                yield decoder.decode(data)
+            yield decoder.decode(b"", True)
+        except (OSError, UnicodeDecodeError, tarfile.TarError) as error:
+            log.warning("member %s: %s", name, error)
 
-    One that can't be read is logged and passed over; the others follow."""
     with tarfile.open(fileobj=data, mode="r|gz") as tar:
         for info in tar:
-            if not info.isfile():
-                continue
-            try:
-                yield info.name, tar.extractfile(info).read().decode("utf-8")
-            except (OSError, UnicodeDecodeError, tarfile.TarError) as error:
-                log.warning("member %s: %s", info.name, error)
+            if info.isfile():
+                yield info.name, chunks(info.name, tar.extractfile(info))
 
 
-def values(text: str) -> Iterator[str]:
-    """Concatenated JSON values; the first that is broken ends the member."""
+def values(text: str | Iterator[str]) -> Iterator[str]:
+    """Concatenated JSON values; the first that is broken ends the member.
+
+    No more of the text is held than the value that is being read, and a chunk."""
     decoder = json.JSONDecoder()
-    at = 0
+    chunks = iter([text] if isinstance(text, str) else text)
+    held, at, more = "", 0, True
     while True:
-        while at < len(text) and text[at] in " \t\r\n":
+        while at < len(held) and held[at] in " \t\r\n":
             at += 1
-        if at >= len(text):
-            return
         try:
-            _, end = decoder.raw_decode(text, at)
+            end = decoder.raw_decode(held, at)[1] if at < len(held) else -1
+            broken = None
         except ValueError as error:
-            log.warning("a member ends early: %s", error)
+            end, broken = -1, error
+        if end >= 0 and (end < len(held) or not more):
+            yield held[at:end]
+            at = end
+            continue
+        if not more:
+            if broken:
+                log.warning("a member ends early: %s", broken)
             return
-        yield text[at:end]
-        at = end
+        # the value may go on: read as much again, so that long values cost little more
+        held, at = held[at:], 0
+        size, parts = 0, []
+        while more and size <= len(held):
+            part = next(chunks, None)
+            more = part is not None
+            if more:
+                parts.append(part)
+                size += len(part)
+        held += "".join(parts)
 
 
 class ArchivePartition(InputPartition):
@@ -63,20 +90,29 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         from glob import glob
 
-        self.paths = sorted(p for part in options["path"].split(",") for p in (glob(part) or [part]))
+        self.paths = sorted(p for part in options["path"].split(",") for p in ([part] if "://" in part else glob(part) or [part]))
 
     def partitions(self):
         return [ArchivePartition(p) for p in self.paths]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        from pyarrow import fs
+
+        if "://" in partition.path:
+            files, at = fs.FileSystem.from_uri(partition.path)
+        else:
+            files, at = fs.LocalFileSystem(), os.path.abspath(partition.path)
+        with files.open_input_stream(at, compression=None) as f:
             for name, text in members(f):
                 for line, value in enumerate(values(text)):
                     yield partition.path, name, line, value
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("article_archive")``: a partition per archive, a row per JSON value."""
+    """``spark.read.format("article_archive")``: a partition per archive, a row per JSON value.
+
+    Paths are plain or URIs of a shared file system.  An archive is one compressed
+    stream, so one task reads it, but never holds more than a value and a chunk of it."""
 
     @classmethod
     def name(cls):
@@ -90,29 +126,21 @@ class ArchiveSource(DataSource):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of local or shared archives; for distributed file systems by binaryFile."""
-    if "://" in path:
-        def unpack(batches):
-            for batch in batches:
-                rows = [(p, name, line, v) for p, content in zip(batch["path"], batch["content"], strict=True) for name, text in members(io.BytesIO(content)) for line, v in enumerate(values(text))]
-                yield pd.DataFrame(rows, columns=["archive", "member", "line", "value"])
-
-        return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, LINES)
+    """The JSON values of archives, local or shared; several paths are parted by commas."""
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("article_archive").option("path", path).load()
 
 
-def download(url: str, target: str, chunk: int = 1 << 20) -> int:
-    """Stream a URL to a file; anything but status 200 is an error.  Returns the bytes."""
+def download(url: str, out, chunk: int = 1 << 20) -> int:
+    """Stream a URL into an open file; anything but status 200 is an error.  Returns the bytes."""
     done = 0
     with urllib.request.urlopen(url, timeout=60) as response:  # noqa: S310
         if response.status != 200:
             raise OSError(f"{url}: status {response.status}")
-        with open(target, "wb") as out:
-            while data := response.read(chunk):
-                out.write(data)
-                done += len(data)
-                log.info("%s: %d bytes", url, done)
+        while data := response.read(chunk):
+            out.write(data)
+            done += len(data)
+            log.info("%s: %d bytes", url, done)
     return done
 
 

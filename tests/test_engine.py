@@ -173,7 +173,11 @@ def test_broken_lines(spark):
     rows = [("a", "m", 0, record(1, "x", "<p>x</p>")), ("a", "m", 1, "{bad"), ("a", "m", 2, record(2, "y", "<p>y</p>")), ("a", "n", 0, record(3, "z", "<p>z</p>"))]
     lines = archive.from_lines(spark.createDataFrame(rows, archive.LINES))
     assert {r["id"] for r in archive.articles(lines).collect()} == {1, 3}
-    assert list(archive.values('{"a":1} {"b":2}\n[3]{"c"')) == ['{"a":1}', '{"b":2}', "[3]"]
+    text = '{"a":1} {"b":2}\n[3] 12 {"long": "' + "x" * 50 + '"}{"c"'
+    want = ['{"a":1}', '{"b":2}', "[3]", "12", text[text.index('{"long') : -4]]
+    for size in (1, 2, 3, 7, 1000):
+        assert list(archive.values(text[k : k + size] for k in range(0, len(text), size))) == want
+    assert list(archive.values(text)) == want and list(archive.values("")) == [] and list(archive.values("12")) == ["12"]
 
 
 def test_releases(spark, tmp_path):
@@ -187,6 +191,59 @@ def test_releases(spark, tmp_path):
     assert (tmp_path / "out").read_bytes() == b"abcd"
 
 
+def test_changes_appear_whole(spark, tmp_path):
+    """Articles and sections are replaced by one manifest; what no manifest names goes."""
+    made = Engine(spark, str(tmp_path / "db"))
+    items = "array<struct<title:string,pow:int,content:string>>"
+    page = lambda name: spark.createDataFrame([(1, name, "", [("", 0, name)], "a", "m", 0)], f"id long, title string, entity string, items {items}, archive string, member string, line long")
+    made.put_articles(page("one"))
+    before = Engine.open(spark, made.path)
+    old = before.articles
+    broken = made.folder.put
+    made.folder.put = lambda name, data: (_ for _ in ()).throw(OSError("full"))
+    with pytest.raises(OSError):
+        made.put_articles(page("two"))
+    made.folder.put = broken
+    assert [r["title"] for r in made.articles.collect()] == ["one"] and made.sections.count() == 1
+    made.put_articles(page("three"), {"batch": 7})
+    assert [r["title"] for r in old.collect()] == ["one"]  # a reader keeps what it began with
+    assert [r["title"] for r in before.articles.collect()] == ["three"] and made.mark("batch") == 7
+    assert sorted(r["id"] for r in made.sections.collect()) == [1, 2]
+    folders = len(made.folder.names())
+    assert made.vacuum(1) == 1 and len(made.folder.names()) < folders
+    assert made.sections.count() == 2 and made.vacuum(1) == 0
+    with pytest.raises(FileExistsError):
+        made.folder.put(made._manifests()[-1], b"")
+    with pytest.raises(PermissionError):
+        before.vacuum()
+
+
+def test_store_and_archive_by_uri(spark, tmp_path):
+    pack(tmp_path / "a.tar.gz", [("m", record(1, "Red fox", "<p>A fox.</p>"))])
+    made = Engine.open(spark, f"file://{tmp_path}/db")
+    made.ingest(f"file://{tmp_path}/a.tar.gz")
+    assert [r["article_id"] for r in made.search_content("fox").collect()] == [1]
+    assert not Engine.open(spark, f"file://{tmp_path}/db").writable
+
+
+def test_streamed_lines_keep_their_order(spark, tmp_path):
+    """The last line of a file wins, and a replayed batch changes nothing."""
+    from quillsearch.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text("\n".join(record(1, f"Fox {k}", f"<p>fox {k}</p>") for k in range(300)) + "\n")
+    made = Engine(spark, str(tmp_path / "db"))
+    ingest.run(made, str(tmp_path / "in"), str(tmp_path / "ck"), reindex=False).awaitTermination()
+    rows = sorted((r["id"], r["content"]) for r in made.sections.collect())
+    assert rows == [(k + 1, f"fox {k}") for k in range(300)] and made.articles.first()["title"] == "Fox 299"
+    (tmp_path / "ck2").mkdir()
+    import shutil
+
+    shutil.rmtree(tmp_path / "ck")  # the stream has forgotten the batch, the store has not
+    ingest.run(made, str(tmp_path / "in"), str(tmp_path / "ck"), reindex=False).awaitTermination()
+    assert made.sections.count() == 300
+
+
 def test_streaming(spark, tmp_path):
     from quillsearch.streaming import ingest
 

@@ -32,6 +32,37 @@ def test_postings_are_pruned(engine):
     assert "content" not in text.split("ReadSchema:")[1].split("\n")[0]
 
 
+def test_one_scan_of_postings(engine):
+    """Statistics and scores share the shuffled postings of the query."""
+    found = search.top(engine.content_index("thing erst").scores("thing erst", owned=True), 10)
+    found.collect()
+    text = plan(found).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in text and text.count("term#") and text.count("ReadSchema: struct<doc_id") == 1
+    assert "lengths" not in text and "SortMergeJoin" not in text
+
+
+def test_rows_are_fetched_by_literals(engine):
+    hits = search.settled(search.top(engine.content_index("thing").scores("thing"), 5), 5)
+    text = plan(search.picked(engine.table("sections"), "id", hits, "doc_id", 5))
+    assert "PushedFilters: [In(id" in text or "PushedFilters: [Or" in text or "id IN" in text
+
+
+def test_only_hits_are_inflated(engine, spark):
+    """The inflating function stands above the join with the hits, in every search."""
+    hits = spark.createDataFrame([(1, -1.0)], "doc_id long, score double")
+    sections = engine.table("sections")
+    raw = search.Index(sections, "id", ["title", "content"])
+    raw.scores = lambda query, owned=False: hits
+    titles = search.Index(engine.articles, "id", ["title"])
+    titles.scores = lambda query, owned=False: hits
+    for df in (search.contents(raw, engine.articles, "thing", 5), search.titles(titles, sections, "small", 5), engine.search_semantic([0.1] * 64, 5)):
+        lines = plan(df).split("\n")
+        at = next(k for k, line in enumerate(lines) if "ArrowEvalPython" in line and "inflate" in line)
+        joins = [k for k, line in enumerate(lines) if "Join" in line and k > at]
+        scan = next(k for k, line in enumerate(lines) if "content_flate" in line and "FileScan" in line)
+        assert joins and min(joins) < scan
+
+
 def test_top_k_is_not_a_sort(engine):
     assert "TakeOrderedAndProject" in plan(search.top(engine.content_index("thing").scores("thing"), 10))
     assert "TakeOrderedAndProject" in plan(ivf.similar(engine.table("vectors"), [0.1] * 64, 10))
@@ -40,7 +71,8 @@ def test_top_k_is_not_a_sort(engine):
 def test_cells_are_pruned(engine, spark):
     q = engine.table("vectors").first()["embedding"][:16]
     text = plan(ivf.search(engine.table("ann"), engine.table("centroids"), q, 1, 50, 1))
-    assert "centroid_id#" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket#" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "centroid_id,[" in text or "centroid_id#" in text.split("DataFilters: [")[1].split("]")[0]
 
 
 def test_semantic_reads_only_hits(engine):
