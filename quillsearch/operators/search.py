@@ -36,23 +36,27 @@ def frequencies(post: DataFrame, phrases: Sequence[Sequence[str]], also: Sequenc
     places = [F.collect_list(F.when(F.col("term") == t, F.col("pos"))).alias(f"p{i}") for t, i in number.items()]
     gathered = mine.groupBy("doc_id", "col").agg(*places, *[lone(i) for i, p in enumerate(distinct) if len(p) == 1], *keep)
 
+    def moved(term: str, by: int):
+        return F.transform(f"p{number[term]}", lambda x: x - by)
+
     def count(i: int):
         phrase = distinct[i]
         if len(phrase) == 1:
             return F.col(f"f{i}")
         out = F.col(f"p{number[phrase[0]]}")
         for k, t in enumerate(phrase[1:], 1):
-            out = F.array_intersect(out, F.transform(f"p{number[t]}", lambda x, k=k: x - k))
+            out = F.array_intersect(out, moved(t, k))
         return F.size(out).cast("long")
 
     counted = gathered.select("doc_id", *[count(i).alias(f"f{i}") for i in range(len(distinct))], *also)
     return counted.groupBy("doc_id").agg(*[F.sum(f"f{i}").cast("long").alias(f"f{i}") for i in range(len(distinct))], *keep)
 
 
-def bm25(freq: DataFrame, size: DataFrame, phrases: Sequence[Sequence[str]], found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bm25(freq: DataFrame, size: DataFrame | dict[str, int], phrases: Sequence[Sequence[str]], found: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id, score: BM25 of the rows that have every phrase; smaller is better.
 
-    ``found`` gives the rows of freq their length (len).  Statistics stay in the plan as
+    ``found`` gives the rows of freq their length (len); ``size`` has n_docs and n_tokens,
+    as one row or as numbers.  Statistics stay in the plan as
     one broadcast row, so it is a single job."""
     distinct = list(dict.fromkeys(map(tuple, phrases)))
     times = {p: sum(tuple(q) == p for q in phrases) for p in distinct}
@@ -61,7 +65,7 @@ def bm25(freq: DataFrame, size: DataFrame, phrases: Sequence[Sequence[str]], fou
         # the greatest length is asked for, and used below, so that both uses of freq have
         # the same columns and share one scan and shuffle
         seen = freq.agg(*[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(distinct))], *[F.max(c).alias(f"most_{c}") for c in freq.columns if c in ("len", "owned")])
-    stats = seen.crossJoin(size)
+    stats = seen.crossJoin(size) if isinstance(size, DataFrame) else seen.withColumns({c: F.lit(n).cast("long") for c, n in size.items()})
     every = F.lit(True)
     for i in range(len(distinct)):
         every = every & (F.col(f"f{i}") > 0)
@@ -85,7 +89,7 @@ class Index:
     Either stored (postings with lengths and owners, and the size), or made from the
     rows when a query is known."""
 
-    def __init__(self, rows: DataFrame, key: str, columns: Sequence[str], stored: tuple[DataFrame, DataFrame] | None = None):
+    def __init__(self, rows: DataFrame, key: str, columns: Sequence[str], stored: tuple[DataFrame, dict[str, int]] | None = None):
         self.rows, self.key, self.columns, self.stored = rows, key, list(columns), stored
 
     def scores(self, query: str, owned: bool = False) -> DataFrame:

@@ -130,21 +130,28 @@ class Engine:
             raise LookupError(f"there is no table {name}")
         return self.spark.createDataFrame([], schema)
 
-    def commit(self, tables: dict[str, DataFrame], more: dict[str, DataFrame] | None = None, partition: str | None = None, marks: dict | None = None) -> None:
-        """Replace ``tables`` and append to ``more``, all in one step."""
+    def save(self, name: str, rows: DataFrame, partition: str | None = None) -> str:
+        """Write rows under a new name, which no reader sees before it is committed."""
+        if not self.writable:
+            raise PermissionError("the store is read-only")
+        version = f"{name}-{uuid.uuid4().hex}"
+        writer = rows.write.option("compression", "zstd")
+        (writer.partitionBy(partition) if partition else writer).parquet(f"{self.path}/{version}")
+        return version
+
+    def commit(self, tables: dict[str, DataFrame | str], more: dict[str, DataFrame | str] | None = None, marks: dict | None = None) -> None:
+        """Replace ``tables`` and append to ``more``, rows or what was saved, all in one step."""
         if not self.writable:
             raise PermissionError("the store is read-only")
         number, now = self._manifest()
         for name, rows in (tables | (more or {})).items():
-            version = f"{name}-{uuid.uuid4().hex}"
-            writer = rows.write.option("compression", "zstd")
-            (writer.partitionBy(partition) if partition else writer).parquet(f"{self.path}/{version}")
+            version = rows if isinstance(rows, str) else self.save(name, rows)
             now["tables"][name] = [*(now["tables"].get(name, []) if name not in tables else []), version]
         now["marks"] |= marks or {}
         self.folder.put(f"manifest-{number + 1:012d}.json", json.dumps(now).encode())
 
     def write(self, name: str, rows: DataFrame, partition: str | None = None) -> None:
-        self.commit({name: rows}, partition=partition)
+        self.commit({name: self.save(name, rows, partition)})
 
     def vacuum(self, keep: int = 2) -> int:
         """Remove what only older manifests than the last ``keep`` name; returns how many folders.
@@ -173,9 +180,13 @@ class Engine:
 
     # settings
     def put(self, key: str, value: bytes | str) -> None:
+        self.write("setup", self._with(key, value))
+
+    def _with(self, key: str, value: bytes | str) -> DataFrame:
+        """The settings with one set."""
         data = value.encode() if isinstance(value, str) else value
         new = self.spark.createDataFrame([(key, bytearray(data))], S.SETUP)
-        self.write("setup", self.table("setup", S.SETUP).where(F.col("key") != key).unionByName(new).coalesce(1))
+        return self.table("setup", S.SETUP).where(F.col("key") != key).unionByName(new).coalesce(1)
 
     def get(self, key: str) -> bytes:
         row = self.table("setup", S.SETUP).where(F.col("key") == key).limit(1).first()
@@ -236,10 +247,10 @@ class Engine:
         for name, rows, columns in (("title", self.articles.withColumn("owned", F.lit(True)), ["title"]), ("content", owned, ["title", "content"])):
             post = index.stored(rows, "id", columns, "owned").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
             task = F.pmod(F.col("bucket") * shards + F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit(tasks)).cast("int")
-            new[f"{name}_postings"] = post.repartitionById(tasks, task).sortWithinPartitions("bucket", "term", "doc_id")
-        self.commit(new, partition="bucket", marks={"buckets": buckets})
-        posts = [self.table(f"{n}_postings") for n in ("title", "content")]
-        self.commit({"title_corpus": index.stored_corpus(posts[0]), "content_corpus": index.stored_corpus(posts[1]), "vocabulary": index.vocabulary(*posts).where("term <> ''")})
+            new[f"{name}_postings"] = self.save(f"{name}_postings", post.repartitionById(tasks, task).sortWithinPartitions("bucket", "term", "doc_id"), "bucket")
+        posts = {n: self.spark.read.parquet(f"{self.path}/{new[f'{n}_postings']}") for n in ("title", "content")}
+        sizes = {n: index.stored_corpus(p).first().asDict() for n, p in posts.items()}
+        self.commit(new | {"vocabulary": index.vocabulary(*posts.values()).where("term <> ''")}, marks={"buckets": buckets, "corpus": sizes})
 
     def compress(self) -> None:
         self.write("sections", compressed(self.table("sections", S.SECTIONS)))
@@ -252,7 +263,7 @@ class Engine:
         signed = [xxhash.xxh64_intdigest(t.encode(), seed=42) for t in terms]
         buckets = sorted({(h - (1 << 64) if h >> 63 else h) % self.mark("buckets") for h in signed})
         post = post.where(F.col("bucket").isin(buckets)).drop("bucket")
-        return search.Index(rows, "id", columns, (post, self.table(f"{name}_corpus")))
+        return search.Index(rows, "id", columns, (post, self.mark("corpus")[name]))
 
     def title_index(self, query: str) -> search.Index:
         return self._index("title", self.articles, ["title"], query)
@@ -310,15 +321,14 @@ class Engine:
             self.build_ann(ann_size)
 
     def build_ann(self, size: int = 64, cell: int = ivf.CELL) -> None:
-        self.put("aiAnnSize", str(size))
         short = ivf.truncated(self.table("vectors", S.VECTORS), size)
         if short.isEmpty():
             raise ValueError("there are no vectors")
         centroids, cells = ivf.kmeans(short, cell)
         lists = ivf.layout(cells, cell).withColumn("bucket", ivf.bucket(F.col("centroid_id")))
-        self.commit({"ann": lists.repartition("centroid_id").sortWithinPartitions("bucket", "centroid_id", "chunk_id", "pos")}, partition="bucket")
-        rows = [(i + 1, c.tolist()) for i, c in enumerate(centroids)]
-        self.write("centroids", self.spark.createDataFrame(rows, S.CENTROIDS))
+        saved = self.save("ann", lists.repartition("centroid_id").sortWithinPartitions("bucket", "centroid_id", "chunk_id", "pos"), "bucket")
+        rows = self.spark.createDataFrame([(i + 1, c.tolist()) for i, c in enumerate(centroids)], S.CENTROIDS)
+        self.commit({"ann": saved, "centroids": rows, "setup": self._with("aiAnnSize", str(size))})
 
 
 def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[str], start: int = 0) -> DataFrame:

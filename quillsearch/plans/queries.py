@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -135,9 +137,13 @@ def content_index(spark, sf_dir):
     return search.Index(sections(spark, sf_dir), "id", ["title", "content"])
 
 
-@query(f"WITH {sql_title(TITLE_QUERY)} SELECT article_id, title, text, round(power, 6) AS power FROM t")
+#: Titles are shorter than a snippet, so the whole title is marked.
+MARKED = f"regexp_replace(title, '\\b({TITLE_QUERY.replace(' ', '|')})\\b', '<mark>\\1</mark>', 'gi')"
+
+
+@query(f"WITH {sql_title(TITLE_QUERY)} SELECT article_id, title, text, round(power, 6) AS power, {MARKED} AS snippet FROM t")
 def title_bm25_topk(spark, sf_dir):
-    return search.titles(title_index(spark, sf_dir), sections(spark, sf_dir), TITLE_QUERY, LIMIT).select("article_id", "title", "text", F.round("power", 6).alias("power"))
+    return search.titles(title_index(spark, sf_dir), sections(spark, sf_dir), TITLE_QUERY, LIMIT).select("article_id", "title", "text", F.round("power", 6).alias("power"), "snippet")
 
 
 @query(f"WITH {sql_content(CONTENT_QUERY)} SELECT article_id, title, text, hit AS section_id, round(power, 6) AS power FROM c")
@@ -202,7 +208,7 @@ def section_dedup_last(spark, sf_dir):
 @query("SELECT max(l_shipdate) AS last_ship, l_partkey, l_suppkey FROM lineitem GROUP BY l_partkey, l_suppkey")
 def group_max_last(spark, sf_dir):
     """The greatest value per pair of keys, as the section dedup keeps it."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_shipdate").alias("last_ship"))
+    return store.newest_ids(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], "l_shipdate").withColumnRenamed("l_shipdate", "last_ship")
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
@@ -234,7 +240,7 @@ def embedding_text(spark, sf_dir):
 
 @query("SELECT count(*) AS n FROM documents WHERE text IS NOT NULL AND text <> ''")
 def nonempty_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''").agg(F.count("*").alias("n"))
+    return store.nonempty(table(spark, sf_dir, "documents"), "text")
 
 
 @query("SELECT n_name AS key, max(n_nationkey) AS value FROM nation WHERE n_name = (SELECT min(n_name) FROM nation) GROUP BY 1")
@@ -249,7 +255,8 @@ def setup_settings(spark, sf_dir):
 @query("SELECT coalesce(max(o_orderkey), 0) + 1 AS next_id, (SELECT coalesce(max(o_orderkey), 0) + 1 FROM orders WHERE o_orderkey < 0) AS first_id FROM orders")
 def next_chunk_id(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey")
-    return o.agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_id"), (F.coalesce(F.max(F.when(F.col("o_orderkey") < 0, F.col("o_orderkey"))), F.lit(0)) + 1).alias("first_id"))
+    next_id, first_id = store.next_id(o, "o_orderkey"), store.next_id(o.where("o_orderkey < 0"), "o_orderkey")
+    return spark.createDataFrame([(next_id, first_id)], "next_id long, first_id long")
 
 
 @query("SELECT DISTINCT p_brand, coalesce(try_cast(nullif(regexp_extract(p_brand, '\\d+'), '') AS BIGINT), 0) AS level, coalesce(try_cast(nullif(regexp_extract(p_type, '\\d+'), '') AS BIGINT), 0) AS none FROM part")
@@ -326,12 +333,10 @@ def ivf_assign(spark, sf_dir):
 @query(f"""WITH {SEEDS}, t AS (SELECT centroid_id, i, sum(x) AS x FROM (SELECT centroid_id, unnest(e) AS x, unnest(range({SHORT}))::INT AS i FROM a) GROUP BY 1, 2)
 SELECT centroid_id, i AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY centroid_id)), 6) + 0.0 AS value FROM t""")
 def ivf_update(spark, sf_dir):
-    """One update: the normalised sum of each cell's vectors."""
-    short, seeds = seeded(spark, sf_dir)
-    a = ivf.assigned(short, seeds)
-    sums = a.select("centroid_id", F.posexplode("embedding").alias("place", "x")).groupBy("centroid_id", "place").agg(F.sum("x").alias("x"))
-    size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("centroid_id")))
-    return sums.select("centroid_id", "place", (F.round(F.col("x") / size, 6) + 0.0).alias("value"))
+    """One round: the normalised sum of each cell's vectors."""
+    centroids, _ = ivf.kmeans(ivf.truncated(vectors(spark, sf_dir), SHORT), CELL, rounds=1)
+    rows = spark.createDataFrame([(i + 1, c.tolist()) for i, c in enumerate(centroids)], "centroid_id int, c array<double>")
+    return rows.select("centroid_id", F.posexplode("c").alias("place", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query(f"""WITH {SEEDS}, p AS (SELECT id, centroid_id, row_number() OVER (PARTITION BY centroid_id ORDER BY id) - 1 AS p FROM a),
@@ -343,7 +348,22 @@ def ivf_layout(spark, sf_dir):
     return ivf.layout(ivf.assigned(short, seeds), 20).select("section_id", "centroid_id", "chunk_id", "pos")
 
 
-@query()
+def sql_rounds(rounds: int) -> str:
+    """The clustering's rounds one after another: c0 are the seeds, c{r} follows r updates."""
+    sums = ", ".join(f"sum(e[{d}])" for d in range(1, SHORT + 1))
+    out = ["u AS MATERIALIZED (SELECT id, e, row_number() OVER (ORDER BY id) - 1 AS r FROM " + UNIT16 + ")", f"k AS (SELECT greatest(1, count(*) // {CELL}) AS k, count(*) AS n FROM u)",
+           "w AS MATERIALIZED (SELECT i, i * n // k AS seed, 7 * i % n AS spare FROM (SELECT unnest(range(k)) AS i, k, n FROM k))",
+           "c0 AS MATERIALIZED (SELECT i + 1 AS cid, e AS c FROM w JOIN u ON r = seed)"]
+    for r in range(rounds):
+        out.append(f"a{r} AS MATERIALIZED (SELECT id, e, arg_max(cid, [round(list_dot_product(e, c), 12), -cid]) AS centroid_id FROM u, c{r} GROUP BY id, e)")
+        out.append(f"m{r} AS (SELECT centroid_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS c FROM (SELECT centroid_id, [{sums}] AS v FROM a{r} GROUP BY 1))")
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT i + 1 AS cid, coalesce(m.c, u.e) AS c FROM w LEFT JOIN m{r} m ON m.centroid_id = i + 1 JOIN u ON u.r = spare)")
+    return ",\n".join(out)
+
+
+@query(f"""WITH {sql_rounds(ivf.ROUNDS)}, p AS (SELECT id, centroid_id, row_number() OVER (PARTITION BY centroid_id ORDER BY id) - 1 AS p FROM a{ivf.ROUNDS - 1}),
+c AS (SELECT centroid_id, p // {CELL} AS c FROM p GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (ORDER BY centroid_id, c) AS chunk_id FROM c)
+SELECT id AS section_id, p.centroid_id, chunk_id, (p % {CELL})::INT AS pos FROM p JOIN n ON n.centroid_id = p.centroid_id AND n.c = p.p // {CELL}""")
 def ivf_build(spark, sf_dir):
     """The whole clustering, as the layout of its last assignment."""
     _, cells = ivf.kmeans(ivf.truncated(vectors(spark, sf_dir), SHORT), CELL)
@@ -352,7 +372,8 @@ def ivf_build(spark, sf_dir):
 
 PROBES = f"""b AS (SELECT s.cid, s.c, round(list_dot_product(s.c, q.e), 9) AS sim, coalesce(n, 0) AS n FROM s JOIN u q ON q.id = 0 LEFT JOIN (SELECT centroid_id, count(*) AS n FROM a GROUP BY 1) z ON z.centroid_id = s.cid),
 w AS (SELECT *, coalesce(sum(n) OVER (ORDER BY sim DESC, cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY sim DESC, cid) AS rank FROM b),
-pr AS (SELECT cid FROM w WHERE before < greatest({PROBE_LIMIT} * {CELL}, {FLOOR} * {CELL}) OR rank <= 2)"""
+pr AS (SELECT cid FROM w WHERE before < greatest({PROBE_LIMIT} * {CELL}, {FLOOR} * {CELL}) OR rank <= 2),
+pw AS (SELECT cid FROM w WHERE before < greatest({PROBE_LIMIT * PROBE_LIMIT} * {CELL}, {FLOOR} * {CELL}) OR rank <= 2)"""
 
 
 def built(spark, sf_dir):
@@ -369,22 +390,34 @@ def centroid_probe(spark, sf_dir):
     return ivf.probes(centroids, ann.groupBy("centroid_id").agg(F.count("*").alias("n")), q, PROBE_LIMIT, CELL, FLOOR)
 
 
-ANN_HITS = f"""h AS (SELECT a.id, round(list_dot_product(a.e, q.e), 9) AS sim FROM a, u q WHERE q.id = 0 AND a.centroid_id IN (SELECT cid FROM pr) ORDER BY sim DESC, a.id LIMIT {PROBE_LIMIT * PROBE_LIMIT})"""
+ANN_HITS = f"""h AS (SELECT a.id, round(list_dot_product(a.e, q.e), 9) AS sim FROM a, u q WHERE q.id = 0 AND a.centroid_id IN (SELECT cid FROM pw) ORDER BY sim DESC, a.id LIMIT {PROBE_LIMIT * PROBE_LIMIT})"""
 
 
 @query(f"WITH {SEEDS}, {PROBES}, {ANN_HITS} SELECT id, sim FROM h")
 def ann_topk(spark, sf_dir):
     ann, centroids, q = built(spark, sf_dir)
-    hits = ivf.probes(centroids, ann.groupBy("centroid_id").agg(F.count("*").alias("n")), q, PROBE_LIMIT, CELL, FLOOR)
-    pruned = ann.join(F.broadcast(hits), "centroid_id", "left_semi")
-    return ivf.similar(pruned.select(F.col("section_id").alias("id"), "embedding"), q, PROBE_LIMIT * PROBE_LIMIT)
+    return ivf.search(ann, centroids, q, PROBE_LIMIT * PROBE_LIMIT, CELL, FLOOR)
 
 
-@query(f"WITH {SEEDS}, {PROBES}, {ANN_HITS} SELECT vec_id AS id, round({dot_sql('embedding', Q)}, 9) AS sim FROM embeddings WHERE vec_id IN (SELECT id FROM h) ORDER BY sim DESC, id LIMIT {PROBE_LIMIT}")
+def sql_shown(hits: str) -> str:
+    """Result rows of vector hits (id, sim)."""
+    text = "CASE WHEN p_name IS NULL THEN '' ELSE content END"
+    return f"""SELECT (CASE WHEN p_name IS NULL THEN 0 ELSE article_id END)::BIGINT AS article_id, coalesce(p_name, '') AS title, {text} AS text, 'V' AS type,
+ round(greatest(0, least(100, (sim + 1) / 2 * 100)), 6) AS power, {PREVIEW.format(text)} AS snippet FROM ({hits}) x LEFT JOIN {DOCS} s ON s.id = x.id LEFT JOIN part ON p_partkey = article_id"""
+
+
+@query(f"WITH {SEEDS}, {PROBES}, {ANN_HITS} " + sql_shown(f"SELECT vec_id AS id, round({dot_sql('embedding', Q)}, 9) AS sim FROM embeddings WHERE vec_id IN (SELECT id FROM h) ORDER BY sim DESC, id LIMIT {PROBE_LIMIT}"))
 def ann_rerank(spark, sf_dir):
-    """Candidates by short vectors, ranked by whole ones."""
-    candidates = ann_topk(spark, sf_dir).select("id")
-    return ivf.similar(vectors(spark, sf_dir).join(F.broadcast(candidates), "id", "left_semi"), vector(spark, sf_dir), PROBE_LIMIT)
+    """Vector search with lists and whole vectors: candidates by short ones, ranked by whole ones."""
+    ann, centroids, _ = built(spark, sf_dir)
+    return search.plain(ivf.semantic(sections(spark, sf_dir), articles(spark, sf_dir), vector(spark, sf_dir), PROBE_LIMIT, vectors(spark, sf_dir), ann, centroids, SHORT, CELL, FLOOR))
+
+
+@query(f"WITH {SEEDS}, {PROBES} " + sql_shown(f"SELECT a.id, round(list_dot_product(a.e, q.e), 9) AS sim FROM a, u q WHERE q.id = 0 AND a.centroid_id IN (SELECT cid FROM pr) ORDER BY sim DESC, a.id LIMIT {PROBE_LIMIT}"))
+def ann_only_search(spark, sf_dir):
+    """Vector search with lists alone: their own order."""
+    ann, centroids, _ = built(spark, sf_dir)
+    return search.plain(ivf.semantic(sections(spark, sf_dir), articles(spark, sf_dir), vector(spark, sf_dir), PROBE_LIMIT, None, ann, centroids, SHORT, CELL, FLOOR))
 
 
 SEMANTIC = f"""vh AS (SELECT vec_id AS id, round({dot_sql('embedding', Q)}, 9) AS sim FROM embeddings ORDER BY sim DESC, id LIMIT {LIMIT}),
@@ -434,23 +467,51 @@ def html_sections(spark, sf_dir):
     return items.select("page_id", F.posexplode("items").alias("place", "item")).select("page_id", "place", "item.*")
 
 
-@query()
+LETTERS = "trim(regexp_replace(text, '[^A-Za-z ]', '', 'g'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, {LETTERS} AS t FROM documents WHERE length({LETTERS}) > 0)
+SELECT doc_id, 0 AS place, '' AS title, 0 AS pow, 'intro ' || lang AS content FROM d
+UNION ALL SELECT doc_id, 1, 'About ' || lang, 2, t || chr(10) || chr(10) || '• ' || lang FROM d
+UNION ALL SELECT doc_id, 2, 'More', 3, 'end' FROM d""")
+def html_sections_made(spark, sf_dir):
+    """Pages made of documents: hidden parts, an external link, a repeated heading and an empty one."""
+    letters = F.trim(F.regexp_replace("text", "[^A-Za-z ]", ""))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", letters.alias("t")).where(F.length("t") > 0)
+    page = F.concat(
+        F.lit("<html><style>p{}</style><p>intro "), "lang", F.lit("<h2>About "), "lang", F.lit("</h2><p>"), "t", F.lit("<sup class='reference'>[1]</sup></p><h4>Empty</h4><h3>More</h3><p>end<script>x</script></p>"),
+        F.lit("<h2>About "), "lang", F.lit("</h2><ul><li>"), "lang", F.lit("</li><li><a class='external text' href='u'>gone</a></li></ul><div>bare</div>"),
+    )
+    items = d.select("doc_id", H.sectioned(page).alias("items"))
+    return items.select("doc_id", F.posexplode("items").alias("place", "item")).select("doc_id", "place", "item.title", "item.pow", "item.content")
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS external FROM pages")
 def external_link_filter(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", H.has_external("html").alias("external"))
+    """Pages to a third of which an external link is added, to another third an inner one."""
+    link = F.when(F.col("page_id") % 3 == 0, "<p><b><a href='u' class='x external text'>t</a></b></p>").when(F.col("page_id") % 3 == 1, "<a class='internal' title='external'>t</a>").otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", H.has_external(F.concat("html", link)).alias("external"))
 
 
-@query("SELECT doc_id, text, true AS same FROM documents")
+@query("SELECT doc_id, repeat(text, 4) AS text, true AS same, true AS shrunk FROM documents WHERE length(text) >= 50")
 def deflate_roundtrip(spark, sf_dir):
-    """Deflated and inflated again."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", X.inflate(X.deflate("text")).alias("back"))
-    return d.select("doc_id", F.col("back").alias("text"), (F.col("text") == F.col("back")).alias("same"))
+    """Repeated texts deflated, which makes them smaller, and inflated again."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 50).select("doc_id", F.repeat("text", 4).alias("whole"))
+    z = d.withColumn("z", X.deflate("whole"))
+    back = z.select("doc_id", "whole", X.inflate("z").alias("text"), F.length("z").alias("size"))
+    return back.select("doc_id", "text", (F.col("text") == F.col("whole")).alias("same"), (F.col("size") < F.octet_length("whole")).alias("shrunk"))
 
 
-@query("SELECT doc_id AS id, text AS content FROM documents")
+@query("""SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN repeat(text, 4) WHEN 1 THEN text[1:1] ELSE '' END AS content,
+doc_id % 3 = 0 AS packed, doc_id % 3 <> 0 AS plain FROM documents WHERE length(text) >= 50""")
 def compress_if_smaller(spark, sf_dir):
-    """Sections compressed where it helps, then read back."""
-    rows = sections(spark, sf_dir).withColumn("content_flate", F.lit(None).cast("binary"))
-    return store.readable(store.compressed(rows)).select("id", "content")
+    """Long contents are packed and lose their text; single letters and empty ones stay; all are read back."""
+    kind = F.col("id") % 3
+    rows = sections(spark, sf_dir).where(F.length("content") >= 50)
+    rows = rows.withColumn("content", F.when(kind == 0, F.repeat("content", 4)).when(kind == 1, F.substring("content", 1, 1)).otherwise(F.lit(""))).withColumn("content_flate", F.lit(None).cast("binary"))
+    kept = store.compressed(rows)
+    told = kept.withColumn("packed", F.col("content").isNull() & F.col("content_flate").isNotNull()).withColumn("plain", F.col("content").isNotNull() & F.col("content_flate").isNull())
+    return store.readable(told).select("id", "content", "packed", "plain")
 
 
 @query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events WHERE event_type <> ''")
@@ -473,3 +534,84 @@ def vector_codec(spark, sf_dir):
     """To little-endian bytes and back."""
     back = vectors(spark, sf_dir).select("id", V.from_bytes(V.to_bytes("embedding")).alias("embedding"))
     return back.select("id", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+# The stored engine --------------------------------------------------------------------
+
+_stores: dict[tuple[str, str], store.Engine] = {}
+
+
+def engine(spark, sf_dir) -> store.Engine:
+    """The driver's tables as a store, with compressed sections, made once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="store-")
+        made = store.Engine(spark, f"{base}/store-{uuid.uuid4().hex}")
+        rows = sections(spark, sf_dir).select("id", "article_id", "title", "content", F.lit(None).cast("binary").alias("content_flate"), F.lit(0).alias("pow"))
+        made.commit({"articles": articles(spark, sf_dir), "sections": store.compressed(rows), "vectors": vectors(spark, sf_dir)})
+        made.build_index()
+        _stores[key] = made
+    return _stores[key]
+
+
+@query(f"WITH {sql_title(TITLE_QUERY)} SELECT article_id, title, text, type, round(power, 6) AS power, {MARKED} AS snippet FROM t")
+def engine_search_title(spark, sf_dir):
+    return engine(spark, sf_dir).search_title(TITLE_QUERY, LIMIT).withColumn("power", F.round("power", 6))
+
+
+@query(f"WITH {sql_content(CONTENT_QUERY)} SELECT article_id, title, text, type, round(power, 6) AS power FROM c")
+def engine_search_content(spark, sf_dir):
+    """Snippets of contents have no SQL; tests hold them against another engine's."""
+    return engine(spark, sf_dir).search_content(CONTENT_QUERY, LIMIT).withColumn("power", F.round("power", 6)).drop("snippet")
+
+
+@query(f"WITH {sql_content('the-of')} SELECT article_id, title, text, type, round(power, 6) AS power FROM c")
+def engine_search_phrase(spark, sf_dir):
+    return engine(spark, sf_dir).search_content("the-of", LIMIT).withColumn("power", F.round("power", 6)).drop("snippet")
+
+
+@query(f"WITH {LEXICAL} SELECT article_id, title, text, type, power FROM lx")
+def engine_search_lexical(spark, sf_dir):
+    return engine(spark, sf_dir).search_lexical(BOTH_QUERY, LIMIT).drop("snippet")
+
+
+@query(f"WITH {LEXICAL}, {SEMANTIC}, {sql_fuse('cb', [('lx', 'power DESC, ord'), ('v', 'score, hit')])} SELECT article_id, title, text, type, power FROM cb")
+def engine_search(spark, sf_dir):
+    return engine(spark, sf_dir).search(BOTH_QUERY, LIMIT, vector(spark, sf_dir)).drop("snippet")
+
+
+@query(f"WITH {SEMANTIC} SELECT article_id, title, text, type, power, {PREVIEW.format('text')} AS snippet FROM v")
+def engine_search_semantic(spark, sf_dir):
+    return engine(spark, sf_dir).search_semantic(vector(spark, sf_dir), LIMIT)
+
+
+@query(f"""SELECT 0::BIGINT AS article_id, '' AS title, t AS text, '' AS type, levenshtein(t, 'ring')::DOUBLE AS power, '' AS snippet FROM (SELECT unnest({toks('p_name')}) AS t FROM part
+UNION SELECT unnest({toks('text')}) FROM documents UNION SELECT unnest({toks('lang')}) FROM documents) WHERE regexp_full_match(t, '[a-z0-9]+') ORDER BY power, text LIMIT {LIMIT}""")
+def engine_search_distance(spark, sf_dir):
+    """The nearest words of the stored vocabulary (all of plain letters: the oracle's distance counts bytes)."""
+    return engine(spark, sf_dir).search_distance("ring", LIMIT)
+
+
+@query(f"SELECT p.p_partkey AS id, p.p_name AS title, p.p_brand AS entity, s.id AS section_id, s.title AS section_title, s.content FROM part p JOIN {DOCS} s ON s.article_id = p.p_partkey WHERE p.p_partkey = 7")
+def engine_article(spark, sf_dir):
+    a = engine(spark, sf_dir).article(7)
+    rows = [(a["id"], a["title"], a["entity"], s["id"], s["title"], s["content"]) for s in a["sections"]]
+    return spark.createDataFrame(rows, "id long, title string, entity string, section_id long, section_title string, content string")
+
+
+@query(f"SELECT t AS term FROM (SELECT unnest({toks('p_name')}) AS t FROM part UNION SELECT unnest({toks('text')}) FROM documents UNION SELECT unnest({toks('lang')}) FROM documents)")
+def engine_vocabulary(spark, sf_dir):
+    return engine(spark, sf_dir).table("vocabulary")
+
+
+@query(f"SELECT count(*) AS n_docs, sum(len({toks('text')}) + len({toks('lang')}))::BIGINT AS n_tokens FROM documents")
+def engine_corpus(spark, sf_dir):
+    """The corpus as counted from stored postings."""
+    return spark.createDataFrame([tuple(engine(spark, sf_dir).mark("corpus")["content"].values())], "n_docs long, n_tokens long")
+
+
+@query(f"SELECT id AS section_id, 'pending: ' || p_name || ' - ' || title || chr(10) || chr(10) || content AS input FROM {DOCS} s JOIN part ON p_partkey = article_id WHERE id NOT IN (SELECT vec_id FROM embeddings)")
+def engine_pending_texts(spark, sf_dir):
+    """What would be embedded next: sections without a vector, inflated, with their prefix."""
+    e = engine(spark, sf_dir)
+    return store.embedding_text(store.pending(e.sections, e.table("vectors")), e.articles, "pending: ").withColumnRenamed("id", "section_id")
