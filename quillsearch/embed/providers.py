@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 
 BATCH = 64
@@ -60,8 +60,9 @@ class Local:
         if model is None:
             from .model import Model
 
-            # on a worker the file came with the job
-            path = self.path if os.path.exists(self.path) else SparkFiles.get(os.path.basename(self.path))
+            # in a task on another machine the file came with the job
+            here = os.path.exists(self.path) or TaskContext.get() is None
+            path = self.path if here else SparkFiles.get(os.path.basename(self.path))
             model = _models[self.path, self.cache] = Model(path, self.cache)
         return [model.embed(t).tolist() for t in texts]
 
