@@ -191,6 +191,26 @@ def test_releases(spark, tmp_path):
     assert (tmp_path / "out").read_bytes() == b"abcd"
 
 
+def test_phrases_are_counted(spark):
+    """Phrases of several words, words that repeat in them, and lone words, against plain counting."""
+    import random
+
+    from quillsearch.operators import index, search
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 14))) for _ in range(80)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for phrases in ([["a", "b", "c"]], [["a", "a"], ["b"]], [["c", "a", "c", "a"], ["a", "b"], ["c"]]):
+        want = {}
+        for i, t in enumerate(texts):
+            w = t.split()
+            n = [sum(w[k : k + len(p)] == p for k in range(len(w))) for p in phrases]
+            if any(x in w for p in phrases for x in p):
+                want[i] = tuple(n)
+        got = search.frequencies(index.postings(rows, "id", ["text"]), phrases).collect()
+        assert {r[0]: tuple(r)[1:] for r in got} == want
+
+
 def test_changes_appear_whole(spark, tmp_path):
     """Articles and sections are replaced by one manifest; what no manifest names goes."""
     made = Engine(spark, str(tmp_path / "db"))
