@@ -209,6 +209,15 @@ def bucket_edges(anchor: np.ndarray, fp: np.ndarray, check: np.ndarray, more: np
     anchor, fp, check, more = anchor[order], fp[order], check[order], more[order]
     left, right = [], []
     here = np.arange(len(anchor))
+    parent = np.arange(len(anchor))
+
+    def roots(v: np.ndarray) -> np.ndarray:
+        r = parent[v]
+        while not np.array_equal(up := parent[r], r):
+            r = up
+        parent[v] = r
+        return r
+
     step = 1
     while len(here):
         here = here[here + step < len(anchor)]
@@ -219,27 +228,21 @@ def bucket_edges(anchor: np.ndarray, fp: np.ndarray, check: np.ndarray, more: np
         half = np.bitwise_count(check[near] ^ check[near + step])
         hit[hit] = (half <= CHECK_BITS) & (half + np.bitwise_count(more[near] ^ more[near + step]) <= BOTH_BITS)
         hit[hit] = nearest(middle(x[hit], y[hit])) == anchor[here[hit]]
-        left.append(here[hit])
-        right.append(here[hit] + step)
+        # pairs that are connected already, most of a crowd's, are left out at once
+        near = here[hit]
+        near = near[roots(near) != roots(near + step)]
+        for u in near.tolist():
+            a, b = u, u + step
+            while (up := int(parent[a])) != a:
+                a = up
+            while (up := int(parent[b])) != b:
+                b = up
+            if a != b:
+                parent[b] = a
+                left.append(u)
+                right.append(u + step)
         step += 1
-    if not left:
-        return order[:0], order[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    parent: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while (up := parent.get(v, v)) != v:
-            parent[v] = parent.get(up, up)
-            v = up
-        return v
-
-    keep = np.zeros(len(a), dtype=bool)
-    for k, (u, v) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        u, v = root(u), root(v)
-        if u != v:
-            parent[v] = u
-            keep[k] = True
-    return order[a[keep]], order[b[keep]]
+    return order[np.array(left, dtype=np.int64)], order[np.array(right, dtype=np.int64)]
 
 
 def name(fp: np.ndarray, check: np.ndarray, more: np.ndarray) -> np.ndarray:

@@ -141,6 +141,20 @@ def test_fingerprints_by_plain_python():
         assert (int(fp[i]), int(check[i]), int(more[i])) == brute.fingerprint(t), repr(t)[:60]
 
 
+def test_bucket_edges_connect_what_is_near():
+    """A spanning forest of exactly the accepted pairs, in crowds and apart."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 46, 5).astype(np.uint64)
+    fp = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 46, 60).astype(np.uint64)) for b in base])
+    check, more = np.repeat(base, 60), np.repeat(base, 60)
+    who, anchor = simhash.anchors(fp)
+    a, b = simhash.bucket_edges(anchor, fp[who], check[who], more[who])
+    got = brute.roots(300, zip(who[a].tolist(), who[b].tolist()))
+    near = [(i, j) for i in range(300) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 6 and i // 60 == j // 60]
+    assert got == brute.roots(300, near)
+    assert not {(i // 60, j // 60) for i, j in zip(who[a].tolist(), who[b].tolist())} - {(k, k) for k in range(5)}
+
+
 def test_simhash_bits():
     """The lanes count as a plain sum of signed bits does."""
     rng = np.random.default_rng(2)
