@@ -50,6 +50,10 @@ CHECK_BITS, BOTH_BITS = 22, 38
 BLOCK, RADIUS = 23, 3
 #: A cell of the anchor space, one task's work, is for so many nodes (some 1.5 million replicas, under 100 MB).
 CELL_NODES = 5000
+#: Buckets of more rows are compared in tiles of so many rows and columns (2 MB).
+CROWD, TILE = 256, (64, 4096)
+#: Replicas of a cell that are compared at a time (some 200 MB); fuller cells take several turns.
+TURN = 1 << 21
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -203,12 +207,33 @@ def middle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return low
 
 
+def one_sided(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each fingerprint may be the lesser, and the greater, that settles a pair at its anchor.
+
+    ``middle`` has its high bits from the lesser and its low bits from the greater of a pair, so
+    its second block is the lesser's or its first block is the greater's.  The middle is within
+    RADIUS of its anchor in both blocks, and so is that one in that block."""
+    away = anchor ^ fp
+    return np.bitwise_count(away >> np.uint64(BLOCK)) <= RADIUS, np.bitwise_count(away & np.uint64((1 << BLOCK) - 1)) <= RADIUS
+
+
 def bucket_edges(anchor: np.ndarray, fp: np.ndarray, check: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a spanning forest of the near pairs settled at these anchors."""
+    """Index pairs of a spanning forest of the near pairs settled at these anchors.
+
+    Common words pull the fingerprints of a language together, so the pairs of its buckets
+    grow with the square of the texts.  They are compared on contiguous arrays: small buckets
+    side by side, step by step; those of over CROWD rows in tiles, and only where one of the
+    two rows can settle the pair there."""
     order = np.argsort(anchor, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(anchor[order]) != 0])) if len(anchor) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(anchor)))
+    # the largest bucket first, so that those with pairs at a distance are at the start
+    down = np.argsort(-size, kind="stable")
+    begin, size = begin[down], size[down]
+    start = np.cumsum(size) - size
+    order = order[np.repeat(begin - start, size) + np.arange(len(anchor))]
     anchor, fp, check, more = anchor[order], fp[order], check[order], more[order]
     left, right = [], []
-    here = np.arange(len(anchor))
     parent = np.arange(len(anchor))
 
     def roots(v: np.ndarray) -> np.ndarray:
@@ -218,33 +243,86 @@ def bucket_edges(anchor: np.ndarray, fp: np.ndarray, check: np.ndarray, more: np
         parent[v] = r
         return r
 
-    step = 1
-    while len(here):
-        here = here[here + step < len(anchor)]
-        here = here[anchor[here] == anchor[here + step]]
-        x, y = fp[here], fp[here + step]
-        hit = np.bitwise_count(x ^ y) <= 2 * THRESHOLD
-        near = here[hit]
-        half = np.bitwise_count(check[near] ^ check[near + step])
-        hit[hit] = (half <= CHECK_BITS) & (half + np.bitwise_count(more[near] ^ more[near + step]) <= BOTH_BITS)
-        hit[hit] = nearest(middle(x[hit], y[hit])) == anchor[here[hit]]
+    def link(u: np.ndarray, v: np.ndarray) -> bool:
+        """Join what is near of pairs within the first bits; whether there was any."""
+        half = np.bitwise_count(check[u] ^ check[v])
+        hit = np.flatnonzero(half <= CHECK_BITS)
+        u, v = u[hit], v[hit]
+        hit = half[hit] + np.bitwise_count(more[u] ^ more[v]) <= BOTH_BITS
+        u, v = u[hit], v[hit]
         # pairs that are connected already, most of a crowd's, are left out at once
-        near = here[hit]
-        near = near[roots(near) != roots(near + step)]
-        for u in near.tolist():
-            a, b = u, u + step
+        if len(u):
+            hit = roots(u) != roots(v)
+            u, v = u[hit], v[hit]
+        if len(u):
+            hit = nearest(middle(fp[u], fp[v])) == anchor[u]
+            u, v = u[hit], v[hit]
+        for x, y in zip(u.tolist(), v.tolist()):
+            a, b = x, y
             while (up := int(parent[a])) != a:
                 a = up
             while (up := int(parent[b])) != b:
                 b = up
             if a != b:
                 parent[b] = a
-                left.append(u)
-                right.append(u + step)
-        step += 1
+                left.append(x)
+                right.append(y)
+        return len(u) > 0
+
+    def tiles(rows: np.ndarray, columns: np.ndarray, ahead: bool) -> bool:
+        """Compare rows with columns of greater place (ahead) or of lesser; whether any were near."""
+        met = False
+        x = fp[rows][:, None]
+        for at in range(0, len(columns), TILE[1]):
+            some = columns[at : at + TILE[1]]
+            hit = np.flatnonzero(np.bitwise_count(x ^ fp[some]) <= 2 * THRESHOLD)
+            if len(hit):
+                u, v = rows[hit // len(some)], some[hit % len(some)]
+                hit = u < v if ahead else v < u
+                met |= link(u[hit], v[hit])
+        return met
+
+    crowds = int((size > CROWD).sum())
+    for a, n in zip(start[:crowds].tolist(), size[:crowds].tolist()):
+        # by fingerprint, so that the lesser of a pair has the lesser place
+        inner = a + np.argsort(fp[a : a + n], kind="stable")
+        for x in (order, fp, check, more):
+            x[a : a + n] = x[inner]
+        lesser, greater = one_sided(anchor[a : a + n], fp[a : a + n])
+        every = np.arange(a, a + n)
+        root, most = every, -1
+        for ahead, rows, columns in ((True, every[lesser], every), (False, every[greater], every[~lesser])):
+            for k in range(0, len(rows), TILE[0]):
+                now = rows[k : k + TILE[0]]
+                some = columns[np.searchsorted(columns, now[0], "right") :] if ahead else columns[: np.searchsorted(columns, now[-1])]
+                # rows of a component that has much of the bucket needn't meet its other rows
+                own = root[now - a] == most
+                met = tiles(now[~own], some, ahead) if not own.all() else False
+                if own.any():
+                    met |= tiles(now[own], some[root[some - a] != most], ahead)
+                if met:
+                    root = roots(every)
+                    count = np.bincount(root - a)
+                    most = a + int(count.argmax()) if count.max() > n // 4 else -1
+    first = int(size[:crowds].sum())
+    for step in range(1, int(size[crowds:].max(initial=1))):
+        # the buckets of more rows than the step; some of the pairs are of two buckets
+        last = int(size[: np.searchsorted(-size, -step)].sum())
+        near = first + np.flatnonzero(np.bitwise_count(fp[first : last - step] ^ fp[first + step : last]) <= 2 * THRESHOLD)
+        near = near[anchor[near] == anchor[near + step]]
+        if len(near):
+            link(near, near + step)
     return order[np.array(left, dtype=np.int64)], order[np.array(right, dtype=np.int64)]
 
 
+def turns(info: np.ndarray, most: int = TURN) -> Iterator[np.ndarray]:
+    """Places of the replicas at these anchors, in parts of about so many; an anchor's are in one part."""
+    times = max(1, -(-len(info) // most))
+    part = (kernels.mix(np.arange(4096, 8192)) % np.uint64(times)).astype(np.uint16)[info >> np.uint32(12)]
+    for k in range(times):
+        yield np.flatnonzero(part == k)
+
+
 def name(fp: np.ndarray, check: np.ndarray, more: np.ndarray) -> np.ndarray:
     """A node's 64-bit name, from all its fingerprints."""
     return kernels.mix(kernels.mix(kernels.mix(fp) + check) + more).view(np.int64)
@@ -297,13 +375,16 @@ def near_edges(nodes: DataFrame) -> DataFrame:
         if not fp:
             return
         fp, check, more, count, three = map(np.concatenate, (fp, check, more, count, three))
-        who = np.repeat(np.arange(len(fp)), count)
-        three = three.reshape(-1, 3).astype(np.uint32)
-        info = three[:, 0] | three[:, 1] << np.uint32(8) | three[:, 2] << np.uint32(16)
-        a, b = bucket_edges(expand(info), fp[who], check[who], more[who])
+        whose = np.repeat(np.arange(len(fp), dtype=np.int32), count)
+        info = np.zeros(len(whose), dtype=np.uint32)
+        for byte in range(3):
+            info |= three[byte::3].astype(np.uint32) << np.uint32(8 * byte)
         node = name(fp, check, more)
-        a, b = node[who[a]], node[who[b]]
-        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        for own in turns(info):
+            who = whose[own]
+            a, b = bucket_edges(expand(info[own]), fp[who], check[who], more[who])
+            a, b = node[who[a]], node[who[b]]
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     blocks = nodes.select("fp", "chk", "more").repartition(cells).mapInArrow(scatter, "cell int, block binary")
     return blocks.repartitionById(cells, "cell").mapInArrow(meet, "a long, b long")

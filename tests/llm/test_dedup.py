@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -155,6 +156,63 @@ def test_bucket_edges_connect_what_is_near():
     assert not {(i // 60, j // 60) for i, j in zip(who[a].tolist(), who[b].tolist())} - {(k, k) for k in range(5)}
 
 
+@pytest.mark.parametrize("crowd, tile", ((1, (2, 3)), (1, (64, 4096)), (20, (3, 50)), (10**9, (1, 1))))
+def test_crowded_buckets(monkeypatch, crowd, tile):
+    """Tiles and steps connect what all pairs within the bits connect, each settled pair at one anchor."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(10)
+    fp = np.repeat(rng.integers(0, 1 << 46, 4).astype(np.uint64), 70)
+    for _ in range(4):
+        fp ^= np.where(rng.random(280) < 0.6, np.uint64(1) << rng.integers(0, 46, 280).astype(np.uint64), np.uint64(0))
+    # some like most of their crowd, some like few
+    check = rng.integers(0, 1 << 63, 9).astype(np.uint64)[np.where(np.arange(280) % 5 < 3, 0, rng.integers(0, 9, 280))]
+    more = check
+    who, anchor = simhash.anchors(fp)
+    a, b = simhash.bucket_edges(anchor, fp[who], check[who], more[who])
+    near = [(i, j) for i in range(280) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 6 and check[i] == check[j]]
+    assert brute.roots(280, zip(who[a].tolist(), who[b].tolist())) == brute.roots(280, near)
+    assert {tuple(sorted(p)) for p in zip(who[a].tolist(), who[b].tolist())} <= {(j, i) for i, j in near}
+    assert (anchor[a] == anchor[b]).all() and len(near) > 500
+
+
+def test_crowd_of_unlike_texts_in_the_time_of_plain_comparisons():
+    """A language's common words put many unlike texts around one anchor: some nanoseconds a pair."""
+    rng = np.random.default_rng(11)
+    n = 12_000
+    away = np.packbits(rng.random((6 * n, 64)) < np.where(np.arange(64) < 46, 0.15, 0), axis=1, bitorder="little").view(np.uint64)[:, 0]
+    excess = [np.maximum(np.bitwise_count(x).astype(int) - 3, 0) for x in (away & np.uint64((1 << 23) - 1), away >> np.uint64(23))]
+    fp = away[excess[0] + excess[1] <= 3][:n]
+    assert len(fp) == n
+    check, more = (rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(2))
+
+    def plain():
+        for k in range(0, n, 64):
+            np.flatnonzero(np.bitwise_count(fp[k : k + 64, None] ^ fp[k:]) <= 6)
+
+    def fastest(f):
+        took = []
+        for _ in range(2):
+            begin = time.process_time()
+            f()
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    assert fastest(lambda: simhash.bucket_edges(np.zeros(n, np.uint64), fp, check, more)) < 4 * fastest(plain)
+
+
+def test_turns_keep_anchors_together():
+    rng = np.random.default_rng(12)
+    info = rng.integers(0, 1 << 24, 5000).astype(np.uint32)
+    info = np.concatenate([info, info])
+    for most, least in ((10**6, 1), (3000, 4), (100, 50)):
+        parts = list(simhash.turns(info, most))
+        assert len(parts) >= least and np.array_equal(np.sort(np.concatenate(parts)), np.arange(10_000))
+        sets = [set(info[p].tolist()) for p in parts]
+        assert sum(map(len, sets)) == len(set(info.tolist())) and max(map(len, parts)) < 3 * most
+    assert [len(p) for p in simhash.turns(info[:0])] == [0]
+
+
 def test_simhash_bits():
     """The lanes count as a plain sum of signed bits does."""
     rng = np.random.default_rng(2)
