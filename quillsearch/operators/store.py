@@ -56,6 +56,22 @@ def dedup_sections(sections: DataFrame) -> DataFrame:
     return sections.join(F.broadcast(gone) if few else gone, "id", "left_anti")
 
 
+#: Tasks that share a bucket of the index, at least.
+SHARDS = 4
+
+
+def owned(sections: DataFrame, articles: DataFrame) -> DataFrame:
+    """Sections with ``owned``: whether their article is there.
+
+    Only ids are shuffled; those of missing articles are joined to the sections, by
+    broadcast if they are few."""
+    lost = sections.select("article_id").distinct().join(articles.select(F.col("id").alias("article_id")), "article_id", "left_anti")
+    lost = lost.where("article_id IS NOT NULL").withColumn("_lost", F.lit(True))
+    few = lost.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    told = sections.join(F.broadcast(lost) if few else lost, "article_id", "left")
+    return told.withColumn("owned", F.col("article_id").isNotNull() & F.col("_lost").isNull()).drop("_lost")
+
+
 def compressed(sections: DataFrame) -> DataFrame:
     """Contents deflated where that is smaller; then the content is null."""
     z = sections.withColumn("_z", X.deflate(F.when(F.length("content") > 0, F.col("content"))))
@@ -233,21 +249,18 @@ class Engine:
 
         Postings lie in files by term bucket, sorted by term, so a query reads the
         buckets of its words and in them the row groups of its terms.  A bucket's rows
-        are shared out by document among as many tasks as there are to spare, so that a
-        common word is no task's alone.  Each posting has its row's length and whether
+        are shared out by document among several tasks, however many buckets there are, so
+        that a common word is no task's alone.  Each posting has its row's length and whether
         the row has an article, and a posting of the empty term stands for every row."""
         sections = self.table("sections", S.SECTIONS)
         count = sections.count()
         buckets = buckets or min(4096, max(8, count // 20_000))
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        shards = max(1, tasks // buckets)
-        owners = self.articles.select(F.col("id").alias("article_id"), F.lit(True).alias("owned"))
-        owned = readable(sections).join(owners, "article_id", "left").withColumn("owned", F.col("owned").isNotNull())
+        shards = max(SHARDS, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
         new = {}
-        for name, rows, columns in (("title", self.articles.withColumn("owned", F.lit(True)), ["title"]), ("content", owned, ["title", "content"])):
+        for name, rows, columns in (("title", self.articles.withColumn("owned", F.lit(True)), ["title"]), ("content", readable(owned(sections, self.articles)), ["title", "content"])):
             post = index.stored(rows, "id", columns, "owned").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-            task = F.pmod(F.col("bucket") * shards + F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit(tasks)).cast("int")
-            new[f"{name}_postings"] = self.save(f"{name}_postings", post.repartitionById(tasks, task).sortWithinPartitions("bucket", "term", "doc_id"), "bucket")
+            task = (F.col("bucket") * shards + F.pmod(F.xxhash64(F.get("doc_id", F.lit(0))), F.lit(shards))).cast("int")
+            new[f"{name}_postings"] = self.save(f"{name}_postings", post.repartitionById(buckets * shards, task).sortWithinPartitions("bucket", "term"), "bucket")
         posts = {n: self.spark.read.parquet(f"{self.path}/{new[f'{n}_postings']}") for n in ("title", "content")}
         sizes = {n: index.stored_corpus(p).first().asDict() for n, p in posts.items()}
         self.commit(new | {"vocabulary": index.vocabulary(*posts.values()).where("term <> ''")}, marks={"buckets": buckets, "corpus": sizes})
@@ -262,7 +275,7 @@ class Engine:
         # the buckets of the words, as xxhash64 tells them
         signed = [xxhash.xxh64_intdigest(t.encode(), seed=42) for t in terms]
         buckets = sorted({(h - (1 << 64) if h >> 63 else h) % self.mark("buckets") for h in signed})
-        post = post.where(F.col("bucket").isin(buckets)).drop("bucket")
+        post = index.unfolded(post.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket"))
         return search.Index(rows, "id", columns, (post, self.mark("corpus")[name]))
 
     def title_index(self, query: str) -> search.Index:

@@ -2,14 +2,18 @@
 
 import io
 import json
+import random
 import tarfile
 import threading
 import urllib.error
 import urllib.request
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillsearch.embed.providers import Hashed, over
+from quillsearch.operators import index
 from quillsearch.operators.store import Engine
 from quillsearch.service import cli, rpc
 from quillsearch.service.app import App, Config
@@ -275,3 +279,32 @@ def test_streaming(spark, tmp_path):
     ingest.run(engine, str(tmp_path / "in"), str(tmp_path / "ck")).awaitTermination()
     assert [s["content"] for s in engine.article(1)["sections"]] == ["a red fox"]
     assert engine.search("red").first()["article_id"] == 1
+
+
+def test_common_words_are_shared_out(spark, tmp_path):
+    """A bucket has several tasks however many buckets there are, and rows of few postings."""
+    made = Engine(spark, str(tmp_path / "db"))
+    made.write("articles", spark.createDataFrame([(i, "ring", "") for i in range(0, 400, 2)], "id long, title string, entity string"))
+    rows = [(i, i if i % 5 else None, "", "ring of ring", None, 0) for i in range(400)]
+    made.write("sections", spark.createDataFrame(rows, "id long, article_id long, title string, content string, content_flate binary, pow int"))
+    made.build_index(buckets=64)
+    post = made.table("content_postings").where("term = 'ring'")
+    assert len(post.inputFiles()) > 1 and post.select(F.input_file_name()).distinct().count() > 1
+    assert post.agg(F.max(F.size("doc_id"))).first()[0] <= index.CHUNK
+    got = {tuple(r) for r in index.unfolded(post.drop("bucket")).collect()}
+    assert got == {(i, 3, i % 2 == 0 and i % 5 > 0, 1, p, "ring") for i in range(400) for p in (0, 2)}
+    assert made.mark("corpus") == {"title": {"n_docs": 200, "n_tokens": 200}, "content": {"n_docs": 400, "n_tokens": 1200}}
+    assert made.search_content("ring", 500).count() == 160
+
+
+def test_postings_are_folded():
+    """Against plain loops, in blocks of several sizes; an empty row is counted too."""
+    rng = random.Random(5)
+    rows = [(i, bool(i % 3), rng.choices("ab", k=rng.randint(0, 3)), rng.choices("abc", k=rng.choice([0, 2, 900]))) for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "owned": [r[1] for r in rows], "c0": [r[2] for r in rows], "c1": [r[3] for r in rows]})
+    want = sorted((r[0], len(r[2]) + len(r[3]), r[1], c, p, t) for r in rows for c, ts in enumerate((r[2], r[3])) for p, t in [*([(-1, "")] if c == 0 else []), *enumerate(ts)])
+    for most in (1, 1000, 10**9):
+        cuts = list(index.blocks([1 + len(r[2]) + len(r[3]) for r in rows], most))
+        assert [k for a, b in cuts for k in range(a, b)] == list(range(40)) and (most > 1 or len(cuts) == 40)
+        got = [(d, x >> 33, bool(x >> 32 & 1), x >> 29 & 7, (x & (1 << 29) - 1) - 1, r["term"]) for a, b in cuts for r in index.folded(batch.slice(a, b - a)).to_pylist() for d, x in zip(r["doc_id"], r["told"], strict=True)]
+        assert sorted(got) == want
