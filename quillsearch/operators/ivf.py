@@ -18,6 +18,8 @@ ROUNDS = 10
 FLOOR_CELLS = 50
 #: Folders that the cells of a stored layout are spread over.
 BUCKETS = 256
+#: Similarities that a task has in hand at once (32 MiB), one row's at least.
+SCORES = 1 << 22
 #: Largest matrix of centroids that is broadcast.
 MOST_BYTES = 1 << 30
 
@@ -47,16 +49,34 @@ def numbered(vectors: DataFrame) -> DataFrame:
     return spread.join(F.broadcast(before), "part").withColumn("row", F.col("before") + rank - 1).drop("part", "before")
 
 
+def nearest(x: np.ndarray, centroids: np.ndarray, most: int = SCORES) -> np.ndarray:
+    """The row of the most similar centroid for each vector, the lowest of equals.
+
+    Vectors are taken so few at a time that their similarities to all centroids stay
+    within ``most``, however many centroids there are."""
+    step = max(1, most // max(1, len(centroids)))
+    best = [(x[at : at + step] @ centroids.T).argmax(axis=1) for at in range(0, len(x), step)]
+    return np.concatenate(best) if best else np.zeros(0, dtype=np.int64)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of equal length as rows, without an object for each."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) % len(column) or (column.value_lengths().to_numpy(zero_copy_only=False) != len(flat) // len(column)).any():
+        raise ValueError("vectors differ in length")
+    return flat.reshape(len(column), -1).astype(np.float64, copy=False)
+
+
 def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """id, centroid_id (from 1), embedding: each vector's most similar centroid, the
-    lowest of equals.  Blocks of vectors meet all centroids in numpy."""
+    lowest of equals.  Blocks of vectors meet all centroids in numpy; a block is
+    smaller where there are more centroids."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
-                best = (x @ shared.value.T).argmax(axis=1) + 1
+                best = nearest(matrix(batch.column("embedding")), shared.value) + 1
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(best.astype(np.int32)), batch.column("embedding")], ["id", "centroid_id", "embedding"])
 
     return vectors.select("id", "embedding").mapInArrow(run, "id long, centroid_id int, embedding array<double>")
@@ -96,8 +116,8 @@ def kmeans(vectors: DataFrame, cell: int = CELL, rounds: int = ROUNDS) -> tuple[
             total, count = np.zeros_like(c), np.zeros(len(c), dtype=np.int64)
             for batch in batches:
                 if batch.num_rows:
-                    x = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
-                    best = (x @ c.T).argmax(axis=1)
+                    x = matrix(batch.column("embedding"))
+                    best = nearest(x, c)
                     np.add.at(total, best, x)
                     count += np.bincount(best, minlength=len(c))
             used = np.flatnonzero(count)

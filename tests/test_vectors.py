@@ -108,3 +108,20 @@ def test_fusion_cuts_between_stages(spark):
     more = results(spark, [(2, "V", 50.0, 0, 1)]).withColumn("score", F.lit(-1.0)).withColumn("hit", F.lit(5))
     got = [(r["article_id"], r["power"]) for r in fusion.refuse(kept, more, 2).collect()]
     assert got == [(1, 60.0), (2, 50.0)]  # not 75: article 2 was cut before
+
+
+def test_nearest_is_bounded():
+    """As one product gives it, with the lowest of equal cells; memory doesn't follow the cells."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    c = rng.standard_normal((4000, 4))
+    c[3000:] = c[:1000]
+    x = rng.standard_normal((5000, 4))
+    tracemalloc.start()
+    got = ivf.nearest(x, c, 1 << 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5e6  # all at once they are 160 MB
+    assert got.tolist() == (x @ c.T).argmax(axis=1).tolist() and got.max() < 3000
+    assert ivf.nearest(x[:3], c, 1).tolist() == got[:3].tolist() and len(ivf.nearest(x[:0], c)) == 0
