@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,8 +90,25 @@ def first_number(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.coalesce(text, F.lit("")), r"\d+", 0).try_cast("long"), F.lit(0))
 
 
-@F.pandas_udf(T.BinaryType())
-def deflate(text: pd.Series) -> pd.Series:
+#: Characters or bytes that a function in Python has in hand at once, besides its batch.
+SLICE = 1 << 20
+
+
+def sliced(batches: Iterator[pa.Array], one: Callable, kind: pa.DataType, most: int = SLICE, times: int = 1) -> Iterator[pa.Array]:
+    """one(value) of each value, in small arrays: batches are cut where their values, ``times``
+    their size, come to ``most``, so memory follows neither rows nor what is made of them."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64) * times + 64)
+        at, done = 0, 0
+        # an empty batch is answered too
+        while at < len(batch) or at == 0:
+            end = max(at + 1, int(np.searchsorted(sizes, done + most, "right")))
+            yield pa.array([one(v.as_py()) for v in batch.slice(at, end - at)], kind)
+            at, done = end, int(sizes[end - 1]) if len(batch) else 0
+
+
+@F.arrow_udf(T.BinaryType())
+def deflate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Raw deflate at the best level; empty stays empty, null null."""
 
     def one(value: str | None) -> bytes | None:
@@ -99,12 +119,13 @@ def deflate(text: pd.Series) -> pd.Series:
         z = zlib.compressobj(9, zlib.DEFLATED, -15)
         return z.compress(value.encode()) + z.flush()
 
-    return text.map(one)
+    return sliced(texts, one, pa.binary())
 
 
-@F.pandas_udf(T.StringType())
-def inflate(data: pd.Series) -> pd.Series:
-    return data.map(lambda v: None if v is None else zlib.decompress(v, -15).decode() if v else "")
+@F.arrow_udf(T.StringType())
+def inflate(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    # deflated texts are some three times smaller than the texts, repeated ones more
+    return sliced(data, lambda v: None if v is None else zlib.decompress(v, -15).decode() if v else "", pa.string(), times=4)
 
 
 def snippet(text: str | None, query: Sequence[Sequence[str]], n: int, before: str = "<mark>", after: str = "</mark>") -> str | None:

@@ -107,3 +107,23 @@ def test_nearest_words(spark):
     assert search.nearest_words(words, "x", 0).count() == 0
     with pytest.raises(ValueError):
         search.nearest_words(words, "x", -1)
+
+
+def test_functions_in_python_give_small_arrays():
+    """What is made of a batch is in hand a slice at a time, with every row answered in its place."""
+    import pyarrow as pa
+
+    seen = []
+
+    def one(v):
+        seen.append(v)
+        return None if v is None else v * 10
+
+    batch = pa.array(["a" * 900, None, "", "b" * 5000, *["c" * 300] * 20])
+    out = X.sliced(iter([batch, pa.array([], pa.string()), pa.array(["z"])]), one, pa.string(), 2000)
+    first = next(out)
+    assert len(seen) == len(first) < 5  # nothing beyond the first slice was made
+    rest = list(out)
+    assert [v for a in (first, *rest) for v in a.to_pylist()] == [None if v is None else v * 10 for v in [*batch.to_pylist(), "z"]]
+    assert max(len(a) for a in rest) <= 6
+    assert [len(a) for a in X.sliced(iter([pa.array(["ab"] * 6)]), len, pa.int64(), 200, times=50)] == [1] * 6
