@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from quillsearch.functions import html as H
 from quillsearch.functions.html import external, parse, sections
 
 
@@ -46,3 +49,13 @@ def test_bare_text_and_nothing():
 
 def test_deep_nesting():
     assert one("<div>" * 5000 + "<p>x</p>") == [("", 0, "x")]
+
+
+def test_pages_are_parsed_once(spark, tmp_path):
+    """Filters on sections, and the one that exploding implies, stand above the one evaluation."""
+    pages = spark.createDataFrame([(1, "<p>a</p><h2>T</h2><p>b</p>"), (2, ""), (3, None)], "id long, html string")
+    items = pages.select("id", H.sectioned("html").alias("items")).where(F.size("items") > 0)
+    out = items.select("id", F.posexplode("items").alias("place", "item")).select("id", "place", "item.*")
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in out.orderBy("place").collect()] == [(1, 0, "", 0, "a"), (1, 1, "T", 2, "b")]
