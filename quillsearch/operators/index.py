@@ -33,7 +33,7 @@ def placed(i: int):
 #: Postings of a stored row at most, so that a batch of rows stays small however common a word is.
 CHUNK = 256
 #: Tokens that are gathered at once, unless one row has more.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 #: A stored row: a term and its postings in some rows of the table; ``told`` has len, owned, col
 #: and pos + 1 of each in 31, 1, 3 and 29 bits.
 FOLDED = "doc_id array<long>, told array<long>, term string"
